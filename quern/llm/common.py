@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
-from collections.abc import Iterable
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A token of a finding: a run of these in the lower-cased text.
-TOKEN = re.compile(r"[a-z0-9_]+")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,37 +34,6 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
 
-class TokenHasher:
-    """64-bit hashes of tokens, kept in a bounded cache (tokens recur, hashing them again is waste)."""
-
-    def __init__(self, room: int = 1 << 20):
-        self.known: dict[str, int] = {}
-        self.room = room
-
-    def __call__(self, tokens: Iterable[str]) -> list[int]:
-        known, out = self.known, []
-        for t in tokens:
-            h = known.get(t)
-            if h is None:
-                h = xxhash.xxh64_intdigest(t)
-                if len(known) < self.room:
-                    known[t] = h
-            out.append(h)
-        return out
-
-
-def token_sets(texts: Iterable[str], hasher: TokenHasher) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct tokens of each text as one flat array of sorted hashes, and the length of each set."""
-    flat: list[int] = []
-    sizes: list[int] = []
-    find = TOKEN.findall
-    for text in texts:
-        found = sorted(hasher(set(find(text.lower()))))
-        flat += found
-        sizes.append(len(found))
-    return np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
-
-
 def mix(h: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit finaliser: another, independent-looking hash of each hash."""
     with np.errstate(over="ignore"):
@@ -80,16 +43,5 @@ def mix(h: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def fold(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each (sorted) set; equal sets have equal hashes, the empty set has 0."""
-    out = np.zeros(len(sizes), dtype=np.uint64)
-    full = sizes > 0
-    if len(flat):
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))[full]
-        with np.errstate(over="ignore"):
-            out[full] = np.add.reduceat(mix(flat, 7), starts) * np.uint64(0x9E3779B97F4A7C15) + np.add.reduceat(mix(flat, 11), starts)
-    return out
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)

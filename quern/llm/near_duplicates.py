@@ -3,7 +3,7 @@
 Each of several orders ranks a row's tokens anew (see ``signatures``), which gives the row one sorted signature per
 order. In an order, rows with a long common prefix are neighbours and so candidates; how long the prefix must be is
 settled per region: a region that many rows would share is descended further, a sparse one is taken at its first token.
-Candidates that few orders propose are checked like all others: the sets of tokens decide, by exact counts.
+Rows that are neighbours in at least ``HITS`` orders are candidates; the sets of tokens decide, by exact counts.
 
 Equal texts are one class from the start. Classes, not rows, go through the forest; rows come back at the end.
 """
@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, tidy
-from .signatures import rarity, set_rows, signature_rows
+from .signatures import rarity, set_rows, signature_rows, token_rows
 
-#: Orders of the forest; a pair with weighted similarity 0.4 shares a prefix in at least one of them with p > 0.998.
-ORDERS = 13
+#: Orders of the forest, and the number of them that must make a pair neighbours. A pair with weighted similarity 0.6
+#: (0.8) is missed with a probability of 4e-5 (5e-9).
+ORDERS = 14
+HITS = 2
 #: A prefix ends at the first token that at most so many rows have.
 REGION = 2000
 DEPTH = 6
@@ -35,51 +37,28 @@ def alike(shared: Column, a: Column, b: Column, num: int, den: int) -> Column:
     return shared * den >= (a + b - shared) * num
 
 
-def class_pairs(texts: DataFrame, num: int = 6, den: int = 10, orders: int = ORDERS, region: int = REGION, depth: int = DEPTH) -> DataFrame:
+def class_pairs(rows: DataFrame, num: int = 6, den: int = 10, orders: int = ORDERS, region: int = REGION, depth: int = DEPTH) -> DataFrame:
     """Pairs (ha, hb), ha < hb, of classes of equal token sets in one group whose similarity is at least num / den."""
-    table = texts.sparkSession.sparkContext.broadcast(rarity(texts, "text"))  # 2**18 bytes, whatever the input
-    signed = signature_rows(texts, table, orders, region, depth)
+    table = rows.sparkSession.sparkContext.broadcast(rarity(rows))  # 2**18 bytes, whatever the input
+    signed = signature_rows(rows.select("h", "tokens", "salt"), table, orders, region, depth)
     trees = signed.groupBy("h").agg(F.first("keys").alias("keys")).select("h", F.explode("keys").alias("key"))
-    near = trees.alias("a").join(trees.alias("b"), F.col("a.key") == F.col("b.key")).where("a.h < b.h").select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")).distinct()
-    sets = set_rows(texts).groupBy("h").agg(F.first("tokens").alias("tokens"))
+    near = trees.alias("a").join(trees.alias("b"), F.col("a.key") == F.col("b.key")).where("a.h < b.h").select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
+    near = near.groupBy("ha", "hb").count().where(F.col("count") >= HITS).select("ha", "hb")
+    sets = set_rows(rows)
     a, b = sets.select(F.col("h").alias("ha"), F.col("tokens").alias("ta")), sets.select(F.col("h").alias("hb"), F.col("tokens").alias("tb"))
     both = near.join(a, "ha").join(b, "hb").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
     return both.where(alike(F.col("shared"), F.size("ta"), F.size("tb"), num, den)).select("ha", "hb")
 
 
-def row_classes(texts: DataFrame) -> DataFrame:
-    """(id, h): each row's class of equal token sets within its group."""
-    return class_ids(texts)
-
-
-def class_ids(texts: DataFrame) -> DataFrame:
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
-    from .common import TokenHasher, fold, mix, signed, token_sets
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = TokenHasher()
-        for batch in batches:
-            flat, sizes = token_sets((t or "" for t in batch.column(2).to_pylist()), hasher)
-            grp = np.array(hasher(x or "" for x in batch.column(1).to_pylist()), dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                h = mix(fold(flat, sizes) + mix(grp, 3), 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(h))], names=["id", "h"])
-
-    return texts.select("id", "grp", "text").mapInArrow(ids, "id long, h long")
-
-
 def near_duplicate_pairs(texts: DataFrame, num: int = 6, den: int = 10) -> DataFrame:
     """All pairs (id_a, id_b), id_a < id_b, of rows in one group whose token sets are alike.
 
     ``texts`` has id, grp, text. NULL texts count as empty; two empty texts in a group are alike. Rows repeated under
     one id give no pair of that id with itself. An empty table gives an empty result.
     """
-    pairs = class_pairs(texts, num, den)
-    rows = class_ids(texts).distinct()
+    tokens = token_rows(texts, "id")
+    pairs = class_pairs(tokens, num, den)
+    rows = tokens.select("id", "h").distinct()
     repeated = rows.groupBy("h").count().where("count > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"))
     a, b = rows.select(F.col("h").alias("ha"), F.col("id").alias("ia")), rows.select(F.col("h").alias("hb"), F.col("id").alias("ib"))
     out = pairs.union(repeated).join(a, "ha").join(b, "hb").where("ia <> ib and (ha <> hb or ia < ib)")
@@ -113,9 +92,10 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicate_groups(texts: DataFrame, num: int = 6, den: int = 10) -> DataFrame:
     """One row per id: class_id (least id of the equal texts), group_id (least id linked to it, over any number of
     steps), class_size and links (number of other rows alike to it). Copies are not expanded into pairs."""
-    rows = cut(class_ids(texts).distinct())
+    tokens = token_rows(texts, "id")
+    rows = cut(tokens.select("id", "h").distinct())
     classes = rows.groupBy("h").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    pairs = cut(class_pairs(texts, num, den))
+    pairs = cut(class_pairs(tokens, num, den))
     sized = classes.select(F.col("h").alias("hb"), F.col("class_size").alias("size_b"))
     ends = pairs.union(pairs.select("hb", "ha"))
     linked = ends.join(sized, "hb").groupBy(F.col("ha").alias("h")).agg(F.sum("size_b").alias("outer"))

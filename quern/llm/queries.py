@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import history
 from . import near_duplicates as nd
 from .common import table
 
@@ -20,6 +21,10 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "finding_key")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.replay(history.arrivals(table(spark, sf_dir, "findings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 

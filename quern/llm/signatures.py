@@ -18,28 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHasher, fold, mix, signed, token_sets
+from .common import mix, signed
 
 BUCKET_BITS = 18
 
 
-def rarity(texts: DataFrame, column: str, bits: int = BUCKET_BITS) -> np.ndarray:
-    """For each bucket of hashed tokens the base-2 logarithm, in eighths, of the number of rows that have it.
+def token_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """Rows (grp, text, *keep) to (*keep, h, tokens): the set of 64-bit token hashes and a hash of group and set.
 
-    NULL texts count nothing. The last entry is that of the number of rows. The result has 2**bits + 1 bytes.
+    NULL texts count as empty; the empty set of a group is a class like any other.
     """
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9_]+)"))
+    hashed = df.select("grp", *keep, F.array_distinct(F.transform(found, lambda t: F.xxhash64(t))).alias("tokens"))
+    return hashed.select(*keep, F.xxhash64("grp", F.sort_array("tokens")).alias("h"), "tokens", F.xxhash64("grp").alias("salt"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total, n = TokenHasher(), np.zeros(1 << bits, dtype=np.int64), 0
-        for batch in batches:
-            flat, sizes = token_sets((t or "" for t in batch.column(0).to_pylist()), hasher)
-            total += np.bincount((flat >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-            n += len(sizes)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << bits)), pa.array(np.append(total[at], n))], names=["b", "n"])
-
-    counted = texts.select(F.col(column).alias("t")).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    got = counted.select(F.col("b").cast("int").alias("b"), F.round(F.log2(F.col("n") + 1) * 8).cast("int").alias("v")).toArrow()
+
+def rarity(rows: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
+    """For each bucket of hashed tokens the base-2 logarithm, in eighths, of the number of rows that have it.
+
+    ``rows`` has tokens. The last entry is that of the number of rows. The result has 2**bits + 1 bytes.
+    """
+    each = rows.select(F.explode(F.concat(F.transform("tokens", lambda t: F.shiftrightunsigned(t, 64 - bits)), F.array(F.lit(1 << bits).cast("long")))).alias("b"))
+    got = each.groupBy("b").count().select(F.col("b").cast("int").alias("b"), F.round(F.log2(F.col("count") + 1) * 8).cast("int").alias("v")).toArrow()
     out = np.zeros((1 << bits) + 1, dtype=np.uint8)
     out[got.column("b").to_numpy()] = got.column("v").to_numpy()
     return out
@@ -94,45 +94,40 @@ class Sampler:
         return out
 
 
-def signature_rows(df: DataFrame, table, orders: int, region: int, depth: int, fingerprint: bool = False) -> DataFrame:
-    """Rows (id, grp, text) to (id, grp, h, keys[, print]); ``table`` is a broadcast variable.
+def signature_rows(rows: DataFrame, table, orders: int, region: int, depth: int) -> DataFrame:
+    """Rows of ``token_rows`` to (kept columns, h, keys, print); ``table`` is a broadcast variable.
 
-    h is a hash of grp and the token set (-1 in place of a hash never occurs for a reason of its own); keys has one
-    64-bit key for each order; print has 4 bits of each of the first 16 orders.
+    keys has one 64-bit key for each order; print has 4 bits of each of the first 16 orders, so that the number of bits
+    in which two prints differ estimates how unlike their sets are.
     """
+    kept = [f for f in rows.schema.fields if f.name not in ("tokens", "salt")]
+    names = [f.name for f in kept]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sampler = TokenHasher(), Sampler(table.value, orders, region, depth)
+        sampler = Sampler(table.value, orders, region, depth)
         for batch in batches:
-            flat, sizes = token_sets((t or "" for t in batch.column(2).to_pylist()), hasher)
-            grp = np.array(hasher(x or "" for x in batch.column(1).to_pylist()), dtype=np.uint64)
+            lists = batch.column("tokens")
+            sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            salt = batch.column("salt").to_numpy().view(np.uint64)
             with np.errstate(over="ignore"):
-                salt = mix(grp, 3)
-                h = mix(fold(flat, sizes) + salt, 5)
                 keys = sampler.keys(flat, sizes) + salt[:, None]
-            cols = [batch.column(0), pa.array(signed(h)), pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * orders, pa.array(signed(keys.ravel())))]
-            if fingerprint:
-                bits = np.zeros(len(sizes), dtype=np.uint64)
-                for k in range(min(16, orders)):
-                    bits |= (mix(keys[:, k], 19) & np.uint64(15)) << np.uint64(4 * k)
-                cols.append(pa.array(signed(bits)))
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "keys", *["print"] * fingerprint])
+            bits = np.zeros(len(sizes), dtype=np.uint64)
+            for k in range(min(16, orders)):
+                bits |= (mix(keys[:, k], 19) & np.uint64(15)) << np.uint64(4 * k)
+            ends = np.arange(len(sizes) + 1, dtype=np.int32) * orders
+            cols = [pa.ListArray.from_arrays(ends, pa.array(signed(keys.ravel()))), pa.array(signed(bits))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *cols], names=[*names, "keys", "print"])
 
-    return df.select("id", "grp", "text").mapInArrow(sign, "id long, h long, keys array<long>" + ", print long" * fingerprint)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["keys array<long>", "print long"])
+    return rows.mapInArrow(sign, schema)
 
 
-def set_rows(df: DataFrame) -> DataFrame:
-    """Rows (id, grp, text) to (h, n, tokens), tokens being the 32-bit hashes of the set; h as in ``signature_rows``."""
+def set_rows(rows: DataFrame) -> DataFrame:
+    """(h, tokens), one row for each class, the tokens as 32-bit hashes.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = TokenHasher()
-        for batch in batches:
-            flat, sizes = token_sets((t or "" for t in batch.column(2).to_pylist()), hasher)
-            grp = np.array(hasher(x or "" for x in batch.column(1).to_pylist()), dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                h = mix(fold(flat, sizes) + mix(grp, 3), 5)
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            small = (mix(flat, 23) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.ListArray.from_arrays(ends, pa.array(small))], names=["h", "tokens"])
-
-    return df.select("id", "grp", "text").mapInArrow(sets, "h long, tokens array<int>")
+    32 bits are enough to count common tokens: in a pair of sets of 50 tokens any two differing tokens collide with a
+    probability below one in a million.
+    """
+    small = rows.select("h", F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")).alias("tokens"))
+    return small.groupBy("h").agg(F.first("tokens").alias("tokens"))
