@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history
+from . import history, leakage, mixing, splitting
 from . import near_duplicates as nd
 from .common import table
 
@@ -25,6 +25,35 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.replay(history.arrivals(table(spark, sf_dir, "findings")))
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(table(spark, sf_dir, "parse_results"), table(spark, sf_dir, "split_limits"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).where("piece_no = 1").select("file_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), leakage.item_fields(table(spark, sf_dir, "eval_items")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sized_by_words(table(spark, sf_dir, "documents"))
+    return mixing.plan(sized, table(spark, sf_dir, "mix_targets")).where("short").select("source")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(mixing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(mixing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
