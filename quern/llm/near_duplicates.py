@@ -21,7 +21,7 @@ from .signatures import rarity, set_rows, signature_rows, token_rows
 ORDERS = 14
 HITS = 2
 #: A prefix ends at the first token that at most so many rows have.
-REGION = 2000
+REGION = 500
 DEPTH = 6
 
 
