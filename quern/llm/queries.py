@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, leakage, mixing, splitting
+from . import history, leakage, mixing, parsing, splitting
 from . import near_duplicates as nd
 from .common import table
 
@@ -33,6 +33,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 1").select("file_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.parse_states(table(spark, sf_dir, "parse_results")).where("state <> 'ok'").select("file_id")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.parse_rates(table(spark, sf_dir, "parse_results"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), leakage.item_fields(table(spark, sf_dir, "eval_items")))
 
