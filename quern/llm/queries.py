@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, leakage, mixing, parsing, splitting
+from . import history, leakage, mixing, parsing, spam, splitting
 from . import near_duplicates as nd
 from .common import table
 
@@ -62,6 +62,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.flagged(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.flagged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
