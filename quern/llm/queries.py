@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, leakage, mixing, parsing, spam, splitting
+from . import history, leakage, mixing, parsing, secrets, spam, splitting
 from . import near_duplicates as nd
 from .common import table
 
@@ -41,6 +41,14 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_rates(table(spark, sf_dir, "parse_results"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found_lines(table(spark, sf_dir, "parse_results"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.redacted(table(spark, sf_dir, "parse_results"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), leakage.item_fields(table(spark, sf_dir, "eval_items")))
 
