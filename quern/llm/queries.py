@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import history, leakage, mixing, parsing, secrets, spam, splitting
+from . import handwritten, history, leakage, mixing, parsing, secrets, spam, splitting
 from . import near_duplicates as nd
 from .common import table
 
@@ -41,6 +41,14 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_rates(table(spark, sf_dir, "parse_results"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_kinds(spark, sf_dir).where("kind is not null").select("file_id")
+
+
+def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.kinds(table(spark, sf_dir, "parse_results"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_lines(table(spark, sf_dir, "parse_results"))
 
