@@ -833,6 +833,8 @@ class ScriptParser(Parser):
             if not self.unary():
                 raise Bad
             return False
+        if self.ts and self.peek() == "<" and self.attempt(self.assertion):
+            return False
         simple = self.postfix()
         if self.peek() in ("++", "--") and not self.nl[self.i]:
             if not simple:
@@ -841,6 +843,13 @@ class ScriptParser(Parser):
             return False
         return simple
 
+    def assertion(self) -> None:
+        self.need("<")
+        if not self.take("const"):
+            self.type()
+        self.need(">")
+        self.unary()
+
     def postfix(self, new: bool = False) -> bool:
         simple = self.primary()
         while True:
