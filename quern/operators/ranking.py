@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def topk_with_quota(df: DataFrame, group: list[str], k: int, first: list[Column], rest: list[Column]) -> DataFrame:
+def topk_with_quota(df: DataFrame, group: list[str], key: list[str], k: int, first: list[Column], rest: list[Column]) -> DataFrame:
     """k rows per group: k - min(2, k div 2) by the first order, the others from what remains by the second.
 
-    Adds chosen_by (priority or diversity) and place. Both orders must be total, so that ties cannot vary.
+    ``key`` names a row within its group. Adds chosen_by (priority or diversity) and place. Both orders must be total, so
+    that ties cannot vary. Each window is limited right away, which Spark does before the shuffle, so that a hot group
+    sends a few rows per task and no task sorts it whole.
     """
     reserved = min(2, k // 2)
     w = Window.partitionBy(*group)
-    a = df.withColumn("r_", F.row_number().over(w.orderBy(*first)))
-    by_rest = F.row_number().over(Window.partitionBy(*group, F.col("r_") > k - reserved).orderBy(*rest))
-    b = a.withColumn("q_", by_rest).where((F.col("r_") <= k - reserved) | (F.col("q_") <= reserved))
-    top = F.col("r_") <= k - reserved
-    return b.withColumn("chosen_by", F.when(top, "priority").otherwise("diversity")).withColumn("place", F.when(top, F.col("r_")).otherwise(F.col("q_"))).drop("r_", "q_")
+    top = df.withColumn("place", F.row_number().over(w.orderBy(*first))).where(F.col("place") <= k - reserved)
+    left = df.join(top.select(*group, *key), [*group, *key], "left_anti")
+    others = left.withColumn("place", F.row_number().over(w.orderBy(*rest))).where(F.col("place") <= reserved)
+    return top.withColumn("chosen_by", F.lit("priority")).unionByName(others.withColumn("chosen_by", F.lit("diversity")))
 
 
 def gini(df: DataFrame, group: list[str], value: str) -> DataFrame:

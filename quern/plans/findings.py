@@ -87,9 +87,10 @@ def prune_findings(spark: SparkSession, d: str) -> DataFrame:
     """Per repository what is kept: fixed and opened ones, and the newest 50 others of the last 200 days."""
     age = F.lit(AS_OF).cast("timestamp") - F.expr("interval 200 days")
     f = _f(spark, d).select("finding_key", "repo_id", F.coalesce("status", F.lit("new")).isin("fixed", "issue-opened").alias("kept"), "found_at")
-    young = f.where("kept or found_at is null").union(f.where((~F.col("kept")) & (F.col("found_at") >= age)))
-    rn = F.row_number().over(Window.partitionBy("repo_id", "kept").orderBy(F.desc_nulls_last("found_at"), "finding_key"))
-    return young.withColumn("rn", rn).where("kept or rn <= 50").select("finding_key", "repo_id", "kept")
+    rn = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc_nulls_last("found_at"), "finding_key"))
+    others = f.where(~F.col("kept") & (F.col("found_at").isNull() | (F.col("found_at") >= age)))
+    newest = others.withColumn("rn", rn).where("rn <= 50").drop("rn")  # limited before the shuffle
+    return f.where("kept").unionByName(newest).select("finding_key", "repo_id", "kept")
 
 
 def group_similar(spark: SparkSession, d: str) -> DataFrame:

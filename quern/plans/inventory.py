@@ -174,7 +174,7 @@ def file_score(spark: SparkSession, d: str) -> DataFrame:
 
 def diversity_topk(spark: SparkSession, d: str) -> DataFrame:
     """Per repository eight files: six by score, two of the rest with the fewest changes first."""
-    return ranking.topk_with_quota(_scored(spark, d), ["repo_id"], 8, [F.desc("score"), F.desc("findings"), F.asc("relpath")], [F.asc("changes"), F.desc("score"), F.asc("relpath")]).select("repo_id", "relpath", "chosen_by", "place")
+    return ranking.topk_with_quota(_scored(spark, d), ["repo_id"], ["relpath"], 8, [F.desc("score"), F.desc("findings"), F.asc("relpath")], [F.asc("changes"), F.desc("score"), F.asc("relpath")]).select("repo_id", "relpath", "chosen_by", "place")
 
 
 def selection_gini(spark: SparkSession, d: str) -> DataFrame:
