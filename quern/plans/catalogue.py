@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("inventory", "graph", "findings", "dedup", "text", "streams")
+MODULES = ("inventory", "graph", "findings", "dedup", "source", "text", "streams")
 
 
 def _modules():
