@@ -49,6 +49,10 @@ def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.kinds(table(spark, sf_dir, "parse_results"))
 
 
+def p5_shared_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.shared_rules(table(spark, sf_dir, "parse_results"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_lines(table(spark, sf_dir, "parse_results"))
 
