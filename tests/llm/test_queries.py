@@ -8,7 +8,8 @@ from quern.llm import queries as q
 
 @pytest.mark.parametrize("name", sorted(q.queries()))
 def test_queries_run_and_equal_their_sql(spark, data, name):
-    got = [tuple(x) for x in (df := q.queries()[name](spark, data)).collect()]
+    df = q.queries()[name](spark, data)
+    got = [tuple(x) for x in df.collect()]
     sql = q.oracle_sql().get(name)
     if sql is None:
         assert df.columns
