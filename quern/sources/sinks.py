@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from quern.operators.graph import cut
 
 #: Fixed: the names that an event may have.
-EVENTS = ("ScanStarted", "ScanCompleted", "ChangeDetected", "SymbolsInvalidated", "FindingDetected", "FindingScored", "FindingDeduplicated", "FindingSuppressed", "FindingPromoted", "PacketBuilt", "ReviewRequested", "ReviewCompleted", "FixProposed", "OutcomeRecorded")
+EVENTS = (
+    "ScanStarted", "SymbolIndexed", "EvidencePacketBuilt", "LLMCallGated", "SARIFEmitted", "ScanCompleted", "InvalidationComputed", "PriorityScored", "FindingDeduped", "DedupEmbeddingTierStatus",
+    "ClusterStorePersisted", "AdapterRegistered", "AdapterPrecisionUnavailable", "LanguageShardPersisted",
+)
 
 
 def append_events(events: DataFrame, path: str) -> None:
