@@ -159,6 +159,22 @@ def churn(spark: SparkSession, d: str) -> DataFrame:
     return c.select("repo_id", F.explode("paths").alias("path")).where("path is not null").groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("changes"))
 
 
+def change_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories whose last five changesets touched more than ten paths in all, two of them at least non-empty."""
+    c = table(spark, d, "changesets").select("repo_id", "changeset_id", "created_at", F.coalesce(F.size(F.array_compact("paths")), F.lit(0)).alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
+    last = c.withColumn("rn", F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc_nulls_last("created_at"), F.desc("changeset_id")))).where("rn <= 5")
+    return last.groupBy("repo_id").agg(F.sum("n").alias("paths"), F.count_if(F.col("n") > 0).alias("filled")).where("paths > 10 and filled >= 2")
+
+
+def recent_selections(spark: SparkSession, d: str) -> DataFrame:
+    """Per path its last twelve changes, and how many of them lie in the 60 days before the last change of all."""
+    c = table(spark, d, "changesets").select("repo_id", F.explode("paths").alias("path"), F.unix_micros("created_at").alias("t")).where("path is not null and t is not null")
+    top = c.agg(F.max("t").alias("top"))
+    rn = F.row_number().over(Window.partitionBy("repo_id", "path").orderBy(F.desc("t")))
+    last = c.withColumn("rn", rn).where("rn <= 12").crossJoin(F.broadcast(top))
+    return last.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("t") >= F.col("top") - 60 * 86_400_000_000).alias("recent"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Per repository and path: lines, changes, findings, and a score of these."""
     f = texts(spark, d).where("relpath is not null").groupBy("repo_id", "relpath").agg(F.max(S.line_count(F.col("text"))).alias("lines"))
@@ -186,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_inventory, content_duplicates, text_signals, signal_summary, line_chunks, chunk_sampling, read_range, prompt_truncation, line_search, snapshot_diff, missing_carry_forward,
-        neighbor_activity, ttl_staleness, same_folder_neighbors, test_stems, longest_prefix_owner, glob_suppression, churn, file_score, diversity_topk, selection_gini,
+        neighbor_activity, ttl_staleness, same_folder_neighbors, test_stems, longest_prefix_owner, glob_suppression, churn, change_bursts, recent_selections, file_score, diversity_topk, selection_gini,
     )
 }
 
@@ -250,6 +266,10 @@ SQL = {
         "SELECT f.repo_id, f.relpath, arg_max(r.root, length(r.root)) AS root FROM f JOIN r ON r.repo_id = f.repo_id AND starts_with(f.relpath, r.root || '/') GROUP BY 1, 2",
         "glob_suppression": "WITH g(no, pat) AS (VALUES (1, 'src/*/test_*.py'), (2, '*/vendor/*'), (3, 'lib/s?at*'), (4, '*.min.js')) SELECT file_id, arg_min(pat, no) AS glob FROM parse_results JOIN g ON relpath GLOB pat GROUP BY 1",
         "churn": f"WITH {_CHURN} SELECT repo_id, path, changes FROM churn",
+        "change_bursts": "WITH c AS (SELECT repo_id, changeset_id, created_at, coalesce(len(list_filter(paths, lambda x: x IS NOT NULL)), 0) AS n, row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC NULLS LAST, changeset_id DESC) AS rn FROM changesets) "
+        "SELECT repo_id, sum(n) AS paths, count(*) FILTER (n > 0) AS filled FROM c WHERE rn <= 5 GROUP BY 1 HAVING sum(n) > 10 AND count(*) FILTER (n > 0) >= 2",
+        "recent_selections": "WITH c AS (SELECT repo_id, path, t FROM (SELECT repo_id, unnest(paths) AS path, epoch_us(created_at) AS t FROM changesets) WHERE path IS NOT NULL AND t IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY t DESC) AS rn FROM c) "
+        "SELECT repo_id, path, count(*) AS kept, count(*) FILTER (t >= (SELECT max(t) FROM c) - 60 * 86400000000) AS recent FROM r WHERE rn <= 12 GROUP BY 1, 2",
         "file_score": _SCORED + " SELECT repo_id, relpath, lines, changes, findings, score FROM scored",
         "diversity_topk": _SCORED + ", a AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, findings DESC, relpath) AS r FROM scored), b AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY changes, score DESC, relpath) AS q FROM a WHERE r > 6) "
         "SELECT repo_id, relpath, 'priority' AS chosen_by, r AS place FROM a WHERE r <= 6 UNION ALL SELECT repo_id, relpath, 'diversity', q FROM b WHERE q <= 2",

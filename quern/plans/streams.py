@@ -25,12 +25,18 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return E.drained(E.sessions(E.replay(spark, d)), "complete")
 
 
-QUERIES = {f.__name__: f for f in (event_log_replay, daily_event_counts, rolling_event_counts, user_sessions)}
+def running_user_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, first and last sight per event type, carried in the state of the stream."""
+    return E.drained(E.running_clusters(E.replay(spark, d), "event_type"), "update")
+
+
+QUERIES = {f.__name__: f for f in (event_log_replay, daily_event_counts, rolling_event_counts, user_sessions, running_user_clusters)}
 
 SQL = {
     "event_log_replay": "SELECT event_id, event_type, user_id, json_extract_string(props, '$.k') AS k FROM events",
     "daily_event_counts": "SELECT epoch_us(ts) // 86400000000 * 86400 AS day, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "rolling_event_counts": "SELECT (epoch_us(ts) // 86400000000 - k) * 86400 AS start, event_type, count(*) AS events FROM events, range(0, 14) r(k) GROUP BY 1, 2",
+    "running_user_clusters": "SELECT event_type AS key, count(*) AS rows, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen, true AS is_new FROM events WHERE event_type IS NOT NULL GROUP BY 1",
     "user_sessions": "WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 28800000000 THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM e) "
     "SELECT user_id, min(t) AS start, count(*) AS events FROM s GROUP BY user_id, g",
 }

@@ -47,9 +47,17 @@ def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
     return i.join(tails, ["repo_id", "suffix"]).groupBy("file_id", "module").agg(F.min_by("target", F.struct("rank", "target")).alias("target"))
 
 
+def module_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(repo_id, source, target): a file imports a module whose first segment is the stem of another file of its
+    repository; of several files with a stem the last by path."""
+    i = _lateral(spark, d, "imports").where("level = 0").select("repo_id", F.col("relpath").alias("source"), F.substring_index("module", ".", 1).alias("stem")).distinct()
+    files = texts(spark, d).where(S.extension(F.col("relpath")) == ".py").groupBy("repo_id", S.stem(F.col("relpath")).alias("stem")).agg(F.max("relpath").alias("target"))
+    return i.join(files, ["repo_id", "stem"]).where("source <> target").select("repo_id", "source", "target").distinct()
+
+
 def python_signals(spark: SparkSession, d: str) -> DataFrame:
     return _lateral(spark, d, "signals")
 
 
-QUERIES = {f.__name__: f for f in (python_symbols, python_imports, unused_imports, resolved_imports, python_signals)}
+QUERIES = {f.__name__: f for f in (python_symbols, python_imports, unused_imports, resolved_imports, module_edges, python_signals)}
 SQL: dict[str, str] = {}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +59,31 @@ def sessions(stream: DataFrame) -> DataFrame:
     return g.select("user_id", F.unix_micros("session_window.start").alias("start"), "events")
 
 
+def running_clusters(stream: DataFrame, key: str, at: str = "ts") -> DataFrame:
+    """(key, rows, first_seen, last_seen, is_new) per key and batch, carried on in state: an update for each key that a
+    batch brings. State has three numbers per key and ends 30 days after the key was last seen."""
+
+    def carry(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, first, last = state.get if state.exists else (0, None, None)
+        new = not state.exists
+        for f in frames:
+            t = f["us"]
+            n += len(f)
+            first = int(t.min()) if first is None else min(first, int(t.min()))
+            last = int(t.max()) if last is None else max(last, int(t.max()))
+        state.update((n, first, last))
+        state.setTimeoutTimestamp(max(last // 1000 + 30 * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [group[0]], "rows": [n], "first_seen": [first], "last_seen": [last], "is_new": [new]})
+
+    keyed = stream.where(F.col(key).isNotNull()).withWatermark(at, "1 day").select(F.col(key).cast("string").alias("key"), F.unix_micros(at).alias("us"), at)
+    return keyed.groupBy("key").applyInPandasWithState(
+        carry, "key string, rows long, first_seen long, last_seen long, is_new boolean", "rows long, first_seen long, last_seen long", "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def unique_events(stream: DataFrame) -> DataFrame:
     """Each event id once, over a watermark of 30 days."""
     return stream.withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["event_id"])

@@ -152,6 +152,16 @@ def test_udtfs(spark):
     assert rows("signals", src) == [("dynamic_execution", 10)] and rows("signals", "def (") == [("syntax_error", 1)] and rows("symbols", "def (") == []
 
 
+def test_hashes_without_builtins(spark):
+    import hashlib
+
+    from quern.functions.pyhash import base58, blake2b_64
+
+    df = spark.createDataFrame([("token", bytearray(b"\0\0hello world")), (None, None), ("", bytearray(b""))], "t string, b binary")
+    got = [tuple(x) for x in df.select(blake2b_64("t"), base58("b")).collect()]
+    assert got[0] == (int.from_bytes(hashlib.blake2b(b"token", digest_size=8).digest(), signed=True), "11StV1DL6CwTryKyV") and got[1] == (None, None) and got[2][1] == ""
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"finding_id": "1", "found_at": "2025-01-02T03:04:05Z", "evidence": {"file": "x", "line": 3}}]))
     (tmp_path / "b.json").write_text(json.dumps({"findings": [{"finding_id": "2", "found_at": "nonsense"}]}))
