@@ -17,11 +17,11 @@ from .common import cut, tidy
 from .signatures import rarity, set_rows, signature_rows, token_rows
 
 #: Orders of the forest, and the number of them that must make a pair neighbours. A pair with weighted similarity 0.6
-#: (0.8) is missed with a probability of 1e-5 (4e-10).
-ORDERS = 16
+#: (0.8) is missed with a probability of 2e-6 (2e-11).
+ORDERS = 18
 HITS = 2
 #: A prefix ends at the first token that at most so many rows have.
-REGION = 1000
+REGION = 500
 DEPTH = 6
 
 
