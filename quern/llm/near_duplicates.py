@@ -40,7 +40,7 @@ def alike(shared: Column, a: Column, b: Column, num: int, den: int) -> Column:
 def class_pairs(rows: DataFrame, num: int = 6, den: int = 10, orders: int = ORDERS, region: int = REGION, depth: int = DEPTH) -> DataFrame:
     """Pairs (ha, hb), ha < hb, of classes of equal token sets in one group whose similarity is at least num / den."""
     table = rows.sparkSession.sparkContext.broadcast(rarity(rows))  # 2**18 bytes, whatever the input
-    signed = signature_rows(rows.select("h", "tokens", "salt"), table, orders, region, depth)
+    signed = signature_rows(rows.select("h", "tokens", "salt"), table, orders, region, depth, num, den)
     trees = signed.groupBy("h").agg(F.first("keys").alias("keys")).select("h", F.explode("keys").alias("key"))
     near = trees.alias("a").join(trees.alias("b"), F.col("a.key") == F.col("b.key")).where("a.h < b.h").select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
     near = near.groupBy("ha", "hb").count().where(F.col("count") >= HITS).select("ha", "hb")

@@ -58,8 +58,8 @@ class Sampler:
         """(sets, orders) 64-bit keys: the prefix of the order down to the depth its region needs.
 
         A prefix ends at the first token that at most ``region`` rows have, and at ``depth`` tokens at the latest. The
-        depth follows from the prefix alone, so that sets with a common prefix always get the same key. Empty sets
-        have key 0 throughout.
+        depth follows from the prefix alone, so that sets with a common prefix get the same key, unless one of them
+        runs out of tokens before; for those see ``subset_keys``. Empty sets have key 0 throughout.
         """
         out = np.zeros((len(sizes), self.orders), dtype=np.uint64)
         full = np.flatnonzero(sizes > 0)
@@ -94,14 +94,34 @@ class Sampler:
         return out
 
 
-def signature_rows(rows: DataFrame, table, orders: int, region: int, depth: int) -> DataFrame:
+#: The upper 16 bits of keys of subsets; other keys have them with a probability of 2**-16.
+SUBSET = 0x5EED
+
+
+def subset_keys(tokens: np.ndarray, salt: np.uint64, num: int, den: int) -> np.ndarray:
+    """Two keys for each subset that has at least num / den of a set's tokens.
+
+    Sets with a similarity of num / den have that share of either in common, so that they always share two keys.
+    """
+    n = len(tokens)
+    masks = np.arange(1, 1 << n)
+    has = (masks[:, None] >> np.arange(n)) & 1 == 1
+    has = has[has.sum(axis=1) * den >= n * num]
+    with np.errstate(over="ignore"):
+        both = np.bitwise_xor.reduce(np.where(has, mix(tokens, 23), np.uint64(0)), axis=1) + salt
+    return np.concatenate([mix(both, s) >> np.uint64(16) | np.uint64(SUBSET << 48) for s in (29, 31)])
+
+
+def signature_rows(rows: DataFrame, table, orders: int, region: int, depth: int, num: int = 6, den: int = 10) -> DataFrame:
     """Rows of ``token_rows`` to (kept columns, h, keys, print); ``table`` is a broadcast variable.
 
-    keys has one 64-bit key for each order; print has 4 bits of each of the first 16 orders, so that the number of bits
+    keys has one 64-bit key for each order. Sets that may run out of tokens before the depth, and those that may be
+    alike to one (num / den), have the keys of their subsets after these. print has 4 bits of each of the first 16 orders, so that the number of bits
     in which two prints differ estimates how unlike their sets are.
     """
     kept = [f for f in rows.schema.fields if f.name not in ("tokens", "salt")]
     names = [f.name for f in kept]
+    few = (depth - 1) * den // num
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(table.value, orders, region, depth)
@@ -116,7 +136,16 @@ def signature_rows(rows: DataFrame, table, orders: int, region: int, depth: int)
             for k in range(min(16, orders)):
                 bits |= (mix(keys[:, k], 19) & np.uint64(15)) << np.uint64(4 * k)
             ends = np.arange(len(sizes) + 1, dtype=np.int32) * orders
-            cols = [pa.ListArray.from_arrays(ends, pa.array(signed(keys.ravel()))), pa.array(signed(bits))]
+            values = keys.ravel()
+            short = np.flatnonzero((sizes > 0) & (sizes <= few))
+            if len(short):
+                starts = np.cumsum(sizes) - sizes
+                more = [subset_keys(flat[starts[i] : starts[i] + sizes[i]], salt[i], num, den) for i in short]
+                values = np.insert(values, np.repeat(ends[short + 1], [len(m) for m in more]), np.concatenate(more))
+                extra = np.zeros(len(sizes), dtype=np.int64)
+                extra[short] = [len(m) for m in more]
+                ends = ends + np.concatenate(([0], np.cumsum(extra))).astype(np.int32)
+            cols = [pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(signed(values))), pa.array(signed(bits))]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *cols], names=[*names, "keys", "print"])
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["keys array<long>", "print long"])
