@@ -10,6 +10,7 @@ Equal texts are one class from the start. Classes, not rows, go through the fore
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ from .signatures import rarity, set_rows, signature_rows, token_rows
 #: (0.8) is missed with a probability of 2e-6 (2e-11).
 ORDERS = 18
 HITS = 2
-#: A prefix ends at the first token that at most so many rows have.
+#: A prefix ends at the first token that at most so many rows have, or one in ``SHARE`` of all rows if that is more. From
+#: REGION * SHARE rows on the depths, and with them the recall, do not change with the size; the candidates of a row grow with it.
 REGION = 500
+SHARE = 800
 DEPTH = 6
 
 
@@ -37,9 +40,16 @@ def alike(shared: Column, a: Column, b: Column, num: int, den: int) -> Column:
     return shared * den >= (a + b - shared) * num
 
 
-def class_pairs(rows: DataFrame, num: int = 6, den: int = 10, orders: int = ORDERS, region: int = REGION, depth: int = DEPTH) -> DataFrame:
+def region_of(counts: np.ndarray) -> float:
+    """How many rows may have the last token of a prefix, by the table of ``rarity``."""
+    return max(REGION, 2 ** (float(counts[-1]) / 8) / SHARE)
+
+
+def class_pairs(rows: DataFrame, num: int = 6, den: int = 10, orders: int = ORDERS, region: float | None = None, depth: int = DEPTH) -> DataFrame:
     """Pairs (ha, hb), ha < hb, of classes of equal token sets in one group whose similarity is at least num / den."""
-    table = rows.sparkSession.sparkContext.broadcast(rarity(rows))  # 2**18 bytes, whatever the input
+    counts = rarity(rows)
+    region = region_of(counts) if region is None else region
+    table = rows.sparkSession.sparkContext.broadcast(counts)  # 2**18 bytes, whatever the input
     signed = signature_rows(rows.select("h", "tokens", "salt"), table, orders, region, depth, num, den)
     trees = signed.groupBy("h").agg(F.first("keys").alias("keys")).select("h", F.explode("keys").alias("key"))
     near = trees.alias("a").join(trees.alias("b"), F.col("a.key") == F.col("b.key")).where("a.h < b.h").select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))

@@ -48,7 +48,7 @@ def rarity(rows: DataFrame, bits: int = BUCKET_BITS) -> np.ndarray:
 class Sampler:
     """The first tokens of each set in each of ``orders`` rankings."""
 
-    def __init__(self, table: np.ndarray, orders: int, region: int, depth: int):
+    def __init__(self, table: np.ndarray, orders: int, region: float, depth: int):
         bits = int(len(table) - 1).bit_length() - 1
         self.shift, self.orders, self.region, self.depth = np.uint64(64 - bits), orders, region, depth
         self.rows = np.exp2(table[:-1].astype(np.float64) / 8)
@@ -112,7 +112,7 @@ def subset_keys(tokens: np.ndarray, salt: np.uint64, num: int, den: int) -> np.n
     return np.concatenate([mix(both, s) >> np.uint64(16) | np.uint64(SUBSET << 48) for s in (29, 31)])
 
 
-def signature_rows(rows: DataFrame, table, orders: int, region: int, depth: int, num: int = 6, den: int = 10) -> DataFrame:
+def signature_rows(rows: DataFrame, table, orders: int, region: float, depth: int, num: int = 6, den: int = 10) -> DataFrame:
     """Rows of ``token_rows`` to (kept columns, h, keys, print); ``table`` is a broadcast variable.
 
     keys has one 64-bit key for each order. Sets that may run out of tokens before the depth, and those that may be
