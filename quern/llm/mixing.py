@@ -1,9 +1,10 @@
 """Problem 8: interleave sources in the proportions of target weights, by Pfair scheduling.
 
-Every source is a task of weight w (its share of the mix) whose j-th block may be placed from slot floor(j / w) on and
-must be placed before slot ceil((j + 1) / w). Taking the blocks in the order of their deadlines (earliest first) keeps
-each source within one block of its share at every point of the mix. Deadlines follow from j and w alone, so no
-scheduler runs over the blocks: each computes its own, and one sort by range interleaves them.
+Every source is a task of weight w (its share of the mix) whose j-th block is released at slot floor(j / w) and must be
+placed before slot ceil((j + 1) / w). Each slot takes, of the blocks released so far, the one with the earliest deadline,
+which keeps each source within less than one block of its share at every slot. Weights are whole numbers of slots in a
+period of at most ``PERIOD``, after which all sources have exactly their share and the order repeats: the scheduler runs
+over one period, and every block of any later one finds its slot by its number alone.
 
 A source that has too little, even used max_repeats times, gives what it has; the report says which these are. Sources
 without a target take no part in the mix but count towards the total that the targets are shares of.
@@ -12,6 +13,8 @@ without a target take no part in the mix but count towards the total that the ta
 from __future__ import annotations
 
 import base64
+import heapq
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,12 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import tidy
+from .common import cut, tidy
 
 #: Runs of anything but white space, as str.split has it.
 WORDS = r"(?U)[^\s\x1c-\x1f]+"
-#: Parts in which a source is numbered, so that the largest is not numbered by one task.
-PARTS = 256
+#: Parts in which a source is numbered, so that the largest is not numbered by one task: so many, or as many as parts of
+#: PART_ROWS rows on average take.
+PARTS, PART_ROWS = 256, 1_000_000
+#: Slots of a period at most; one such table is made and sent. More targets than MOST_TARGETS are refused.
+PERIOD, MOST_TARGETS = 1 << 16, 4096
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer's files are meant to cut text before merging (part of its definition).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,39 +78,98 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def schedule(sized: DataFrame, targets: DataFrame, block: int = 4096, parts: int = PARTS) -> DataFrame:
-    """The mix: a row (doc_id, source, pass_no, block_no, release, deadline, slot_key) for each use of a document.
+def quantised(blocks: dict[str, int], most: int = PERIOD) -> dict[str, int]:
+    """Slots of each source in one period, in proportion to its blocks: exactly, if these are at most ``most`` in all.
 
-    Documents of a source are numbered by their running size in an order that a hash of doc_id gives; a source's j-th
-    block of about ``block`` units is due at ceil((j + 1) / weight). Sorting by (deadline, release, source, block_no)
-    gives the order of the mix. The last use of a source ends with the document that reaches what the plan gives.
+    Otherwise by largest remainders, at least one each, so that a share of the mix is off by at most 1 / most.
     """
-    p = plan(sized, targets).where("given > 0").select("source", "key", "size", "given", "weight")
-    d = sized.where("source is not null and size > 0").select("doc_id", tidy(F.col("source")).alias("key"), F.col("size").alias("units"))
+    blocks = {k: n for k, n in blocks.items() if n > 0}
+    every = sum(blocks.values())
+    if every <= most:
+        return blocks
+    out = {k: max(1, n * most // every) for k, n in blocks.items()}
+    over = most - sum(out.values())
+    order = sorted(blocks, key=lambda k: (-((blocks[k] * most) % every), k)) if over > 0 else sorted(blocks, key=lambda k: (-out[k], k))
+    for i in range(abs(over)):
+        out[order[i % len(order)]] += 1 if over > 0 else -1
+    return out
+
+
+def period(slots: dict[str, int]) -> list[str]:
+    """The source of each slot of a period: of the blocks released so far the one with the earliest deadline.
+
+    The weight of a source is its number n of slots over all, q; its block j is released at slot floor(j q / n) and due
+    before slot ceil((j + 1) q / n). All is counted in whole numbers. At full use of one machine this order meets every
+    deadline, so that at any slot every source has its share but for less than one block.
+    """
+    q = sum(slots.values())
+    waiting = [(0, name, 0) for name in sorted(slots)]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int]] = []
+    out = []
+    for t in range(q):
+        while waiting and waiting[0][0] <= t:
+            _, name, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * q // slots[name]), name, j))
+        _, name, j = heapq.heappop(ready)
+        out.append(name)
+        if j + 1 < slots[name]:
+            heapq.heappush(waiting, ((j + 1) * q // slots[name], name, j + 1))
+    return out
+
+
+def schedule(sized: DataFrame, targets: DataFrame, block: int = 4096, most: int = PERIOD) -> DataFrame:
+    """The mix: a row (doc_id, source, units, pass_no, start, block_no, slot) for each use of a document.
+
+    Documents of a source are numbered by their running size in an order that a hash of doc_id gives; start is where a
+    use begins in what the source gives, all passes counted, and block_no is start over ``block`` units. Sorting by
+    (slot, start) gives the order of the mix. The last use of a source ends with the document that reaches what the plan
+    gives. ``sized`` is read once and kept as a checkpoint of a few numbers a document.
+    """
+    spark = sized.sparkSession
+    d = cut(sized.where("source is not null").select("doc_id", tidy(F.col("source")).alias("source"), F.col("size").cast("long").alias("size")))
+    rows = plan(d, targets).limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    n_blocks = {r.key: math.ceil(r.given / block) for r in rows}
+    slots = quantised(n_blocks, most)
+    q = sum(slots.values())
+    at: dict[str, list[int]] = {k: [] for k in slots}
+    for t, k in enumerate(period(slots)):
+        at[k].append(t)
+    few = spark.createDataFrame([(r.key, r.source, int(r.size), float(r.given), slots[r.key]) for r in rows if r.key in slots], "key string, source string, size long, given double, slots int")
+    table = spark.createDataFrame(pa.table({"key": pa.array([k for k in at for _ in at[k]], type=pa.string()), "nth": pa.array([i for k in at for i in range(len(at[k]))], type=pa.int32()), "place": pa.array([t for k in at for t in at[k]], type=pa.int32())}))
+
+    d = d.where("size > 0").select("doc_id", F.col("source").alias("key"), F.col("size").alias("units")).join(F.broadcast(few.select("key")), "key")  # at most MOST_TARGETS rows
+    parts = max(PARTS, d.count() // PART_ROWS)
     d = d.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(parts)))
-    offsets = d.groupBy("key", "part").agg(F.sum("units").alias("u"))  # sources x parts rows
+    offsets = d.groupBy("key", "part").agg(F.sum("units").alias("u"))  # targets x parts rows
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("key", "part", F.coalesce(F.sum("u").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("key", "part").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("inner", F.coalesce(F.sum("units").over(within), F.lit(0))).join(offsets, ["key", "part"]).withColumn("start", F.col("offset") + F.col("inner"))
-    used = d.join(p, "key").withColumn("passes", F.ceil(F.greatest(F.lit(0.0), (F.col("given") - F.col("start")) / F.col("size"))).cast("int")).where("passes > 0")
-    used = used.withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
-    used = used.withColumn("block_no", F.floor((F.col("start") + (F.col("pass_no") - 1) * F.col("size")) / block))
-    return used.select(
-        "doc_id", "source", "units", "pass_no", "block_no", F.floor(F.col("block_no") / F.col("weight")).alias("release"), F.ceil((F.col("block_no") + 1) / F.col("weight")).alias("deadline")
-    )
+    d = d.withColumn("inner", F.coalesce(F.sum("units").over(within), F.lit(0))).join(offsets.hint("merge"), ["key", "part"]).withColumn("first", F.col("offset") + F.col("inner"))
+    used = d.join(F.broadcast(few), "key").withColumn("passes", F.ceil(F.greatest(F.lit(0.0), (F.col("given") - F.col("first")) / F.col("size"))).cast("int")).where("passes > 0")
+    used = used.withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("passes")))).withColumn("start", F.col("first") + (F.col("pass_no") - 1) * F.col("size"))
+    used = used.withColumn("block_no", F.floor(F.col("start") / block)).withColumn("nth", F.pmod("block_no", "slots").cast("int"))
+    placed = used.join(F.broadcast(table), ["key", "nth"])  # at most PERIOD rows
+    return placed.select("doc_id", "source", "units", "pass_no", "start", "block_no", (F.floor(F.col("block_no") / F.col("slots")) * q + F.col("place")).alias("slot"))
 
 
 def mix(sized: DataFrame, targets: DataFrame, block: int = 4096) -> DataFrame:
     """``schedule`` in the order of the mix."""
-    return schedule(sized, targets, block).orderBy("deadline", "release", "source", "block_no", "pass_no", "doc_id")
+    return schedule(sized, targets, block).orderBy("slot", "start", "doc_id")
 
 
 def shares(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """What the mix reached: per source of the targets its units, uses and actual share beside the target."""
-    got = schedule(sized, targets).groupBy("source").agg(F.sum("units").alias("units"), F.count(F.lit(1)).alias("uses"), F.max("pass_no").alias("passes"))
+    """What the schedule reached: per source of the targets its units, uses and actual share beside the target.
+
+    short says that the source's last use ends before what the target wants of it.
+    """
+    sized = cut(sized)
+    got = schedule(sized, targets).groupBy("source").agg(F.sum("units").alias("units"), F.count(F.lit(1)).alias("uses"), F.max("pass_no").alias("passes"), F.max(F.col("start") + F.col("units")).alias("reach"))
+    got = cut(got)  # a row per target
     every = got.agg(F.sum("units").alias("all_units"))
-    return plan(sized, targets).join(got, "source", "left").crossJoin(F.broadcast(every)).select(
+    return plan(sized, targets).drop("short").join(F.broadcast(got), "source", "left").crossJoin(F.broadcast(every)).select(
         "source", "target_share", F.coalesce("units", F.lit(0)).alias("units"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("passes", F.lit(0)).alias("passes"),
-        F.coalesce(F.col("units") / F.col("all_units"), F.lit(0.0)).alias("actual_share"), "short",
+        F.coalesce(F.col("units") / F.col("all_units"), F.lit(0.0)).alias("actual_share"), (F.coalesce("reach", F.lit(0)) < F.col("wanted")).alias("short"),
     )

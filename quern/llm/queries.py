@@ -71,7 +71,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sized_by_words(table(spark, sf_dir, "documents"))
-    return mixing.plan(sized, table(spark, sf_dir, "mix_targets")).where("short").select("source")
+    return mixing.shares(sized, table(spark, sf_dir, "mix_targets")).where("short").select("source")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,12 +66,53 @@ def test_mix_shares_and_order(spark):
         assert got[k].passes <= n
     block = 500
     mixed = mixing.mix(s, t, block).collect()
-    weight = {x.source: x.weight for x in mixing.plan(s, t).collect()}
-    seen, all_ = dict.fromkeys(weight, 0), 0
+    want = {k: min(w * total, n * size[k.lower()]) for k, w, n in (("a", 0.5, 2), ("B", 0.4, 3), ("c", 0.1, 1))}
+    blocks = {k: -int(-v // block) for k, v in want.items()}
+    order = dict(sorted({x.slot: x.source for x in mixed}.items()))
+    assert len({(x.slot, x.source) for x in mixed}) == len(order) == sum(blocks.values())  # one source a slot, all slots taken
+    assert list(order) == list(range(len(order)))
+    near_even(list(order.values()), blocks)
+    units = {}
     for x in mixed:
-        seen[x.source] += x.units
-        all_ += x.units
-        assert all(abs(seen[k] - weight[k] * all_) < 2 * block + 90 for k in weight)
+        units[x.slot] = units.get(x.slot, 0) + x.units
+    assert all(u <= block + 90 for u in units.values())
+
+
+def near_even(order, slots):
+    """Every prefix has each source's share but for less than one block."""
+    q, seen = sum(slots.values()), dict.fromkeys(slots, 0)
+    assert len(order) == q
+    for t, k in enumerate(order, 1):
+        seen[k] += 1
+        assert all(abs(seen[x] * q - t * n) < q for x, n in slots.items())
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_period_deviates_by_less_than_one_block(seed):
+    r = random.Random(seed)
+    slots = {f"s{i}": r.choice([1, 2, 3, 50, 400]) * r.randint(1, 9) for i in range(r.randint(1, 20))}
+    near_even(mixing.period(slots), slots)
+
+
+def test_period_of_a_half_and_five_tenths():
+    near_even(mixing.period({"a": 5, **{f"b{i}": 1 for i in range(5)}}), {"a": 5, **{f"b{i}": 1 for i in range(5)}})
+
+
+def test_quantised_weights_fill_the_period():
+    for blocks in ({"a": 10**9, "b": 1, "c": 3 * 10**8}, {f"s{i}": i * i for i in range(200)}, {"a": 3, "b": 0}):
+        got = mixing.quantised(blocks, 1000)
+        every = sum(blocks.values())
+        assert sum(got.values()) == min(1000, every) and set(got) == {k for k, n in blocks.items() if n}
+        if every > 1000 and len(blocks) < 10:
+            assert all(abs(n / every - got[k] / 1000) <= 2 / 1000 for k, n in blocks.items())
+
+
+def test_periods_repeat_when_blocks_exceed_one(spark):
+    rows = [(i, "a" if i % 3 else "b", 10, "") for i in range(3000)]
+    got = mixing.schedule(spark.createDataFrame(rows, SIZED), spark.createDataFrame([("a", 0.6, 1, 1), ("b", 0.3, 1, 1)], TARGETS), block=10, most=30).collect()
+    order = [x.source for x in sorted(got, key=lambda x: x.slot)]
+    assert order[:30] == order[30:60] and len({x.slot for x in got}) == len(got) == 2700
+    near_even(order[:30], {"a": 20, "b": 10})
 
 
 def test_mix_edges(spark):
@@ -83,6 +124,8 @@ def test_mix_edges(spark):
     none = spark.createDataFrame([], SIZED)
     assert all(x.weight == 0 for x in mixing.plan(none, t).collect())
     assert mixing.mix(none, t).collect() == []
+    assert {x.source for x in mixing.shares(rows, t).collect() if x.short} == {"gone"}
+    assert not any(x.short for x in mixing.shares(none, t).collect())
 
 
 def test_words_are_split_at_any_white_space(spark):
