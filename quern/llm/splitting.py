@@ -1,10 +1,10 @@
 """Problem 2: cut files over a size limit at natural boundaries, by packing a tree of their structure.
 
 The tree follows from headings and indentation: a line holds the more deeply indented lines after it, a heading of
-rank r holds what follows it up to the next heading of its rank. Sibling subtrees are packed into a piece as long as
-they fit; only a subtree that is over the limit by itself is descended into, and only a line that is over the limit by
+rank r holds what follows it up to the next heading of its rank. Sibling subtrees are merged into a piece as long as it
+is within the limit; only a subtree that is over the limit is descended into, and only a line that is over the limit by
 itself is cut within (at a blank where it has one). Consecutive pieces share the stated number of whole lines, or as
-many of them as leave room for at least one more line.
+many of them as leave room for one more line; what is shared counts towards the limit.
 """
 
 from __future__ import annotations
@@ -50,84 +50,79 @@ def levels(lines: list[str], marked: bool) -> list[int]:
     return out
 
 
-def cuts(lines: list[str], limit: int, marked: bool) -> list[tuple[int, int]]:
-    """The first and past-the-last line of atoms: the largest subtrees that fit, in order; a line alone may not fit."""
+def shares_end(line: str) -> bool:
+    """Whether a line only closes what is open."""
+    return line.strip()[:1] in (")", "]", "}") or line.strip() in ("end", "fi", "done", "esac")
+
+
+def groups(lines: list[str], limit: int, overlap: int, marked: bool) -> list[tuple[int, int]]:
+    """The first and past-the-last line that each piece adds, by packing the tree's siblings.
+
+    A node is taken whole if it is within the limit together with the lines it shares with the piece before. Siblings
+    are merged as long as that holds; nodes of unlike parents are not, but for heads, which go with what follows them,
+    and closing lines, which go with what they close. Only a node over the limit is descended into.
+    """
     depth = levels(lines, marked)
     size = [0]
     for line in lines:
         size.append(size[-1] + len(line) + 1)
+
+    def fits(a: int, b: int) -> bool:
+        return size[b] - size[max(0, a - overlap)] - 1 <= limit
+
     out: list[tuple[int, int]] = []
-    todo = [(0, len(lines))]
+    open_: tuple[int, int, int] | None = None  # lines of the piece at hand and the node whose children they are
+    heads = False  # whether these are heads alone
+    todo, nodes = [(0, len(lines), 0)], 0
     while todo:
-        a, b = todo.pop()
-        if b - a == 1 or size[b] - size[a] - 1 <= limit and (a, b) != (0, len(lines)):
-            out.append((a, b))
+        a, b, parent = todo.pop()
+        if open_ and (open_[2] == parent or b - a == 1 and shares_end(lines[a])) and fits(open_[0], b):
+            open_ = (open_[0], b, open_[2])
+            heads = heads and b - a == 1 and bool(todo) and todo[-1][2] == parent and depth[todo[-1][0]] > depth[a]
             continue
+        if b - a == 1 or fits(a, b):
+            if open_:
+                out.append(open_[:2])
+            open_, heads = (a, b, parent), b - a == 1
+            continue
+        nodes += 1
+        if heads and open_:
+            open_ = (*open_[:2], nodes)
         least = min(depth[a:b])
         starts = [i for i in range(a, b) if depth[i] == least]
         if starts[0] != a:
             starts.insert(0, a)
         if len(starts) == 1:  # a head and what it holds
-            todo += [(a + 1, b), (a, a + 1)]
+            todo += [(a + 1, b, nodes), (a, a + 1, nodes)]
         else:
-            todo += [(x, y) for x, y in zip(starts, [*starts[1:], b], strict=True)][::-1]
+            todo += [(x, y, nodes) for x, y in zip(starts, [*starts[1:], b], strict=True)][::-1]
+    if open_:
+        out.append(open_[:2])
     return out
 
 
 def pieces(lines: list[str], limit: int, overlap: int, marked: bool = False) -> list[tuple[int, int, str]]:
     """(first line, last line, text) of each piece, lines 1-based; every text has at most ``limit`` characters."""
     limit, overlap = max(1, limit), max(0, overlap)
-    room = max(1, limit * 3 // 4)
     out: list[tuple[int, int, str]] = []
-    have: list[int] = []  # lines of the piece at hand
-    length = -1  # of the piece, joined
-    fresh = False  # whether it has a line that no piece before had
-
-    def close() -> None:
-        nonlocal have, length, fresh
-        if fresh:
-            out.append((have[0] + 1, have[-1] + 1, "\n".join(lines[i] for i in have)))
-        have, length, fresh = have[len(have) - overlap :] if overlap and fresh else have, -1, False
-        if not overlap:
-            have = []
-        length = sum(len(lines[i]) + 1 for i in have) - 1
-
-    def shed(need: int) -> None:
-        """Let go of shared lines, the oldest first, until ``need`` more characters fit."""
-        nonlocal have, length
-        while have and length + 1 + need > limit:
-            length -= len(lines[have.pop(0)]) + 1
-
-    for a, b in cuts(lines, room, marked):
-        need = sum(len(lines[i]) + 1 for i in range(a, b)) - 1
-        if fresh and length + 1 + need > limit:
-            close()
-        if need <= limit and not (have and length + 1 + need > limit):
-            have += range(a, b)
-            length += 1 + need
-            fresh = True
+    whole = 0  # lines before this one are not shared: a line was cut within
+    for a, b in groups(lines, limit, overlap, marked):
+        if b - a == 1 and len(lines[a]) > limit:
+            rest = lines[a]
+            while len(rest) > limit:
+                at = rest.rfind(" ", limit // 2, limit) + 1 or limit
+                out.append((a + 1, a + 1, rest[:at]))
+                rest = rest[at:]
+            if rest:
+                out.append((a + 1, a + 1, rest))
+            whole = b
             continue
-        for i in range(a, b):
-            need = len(lines[i])
-            if fresh and length + 1 + need > limit:
-                close()
-            if need > limit:
-                if fresh:
-                    close()
-                rest = lines[i]
-                while len(rest) > limit:
-                    at = rest.rfind(" ", limit // 2, limit) + 1 or limit
-                    out.append((i + 1, i + 1, rest[:at]))
-                    rest = rest[at:]
-                if rest:
-                    out.append((i + 1, i + 1, rest))
-                have, length, fresh = [], -1, False
-                continue
-            shed(need)
-            have.append(i)
-            length += 1 + need
-            fresh = True
-    close()
+        first = max(whole, a - overlap)
+        text = "\n".join(lines[first:b])
+        while first < a and len(text) > limit:  # a line that leaves no room for all that is to be shared
+            text = text[len(lines[first]) + 1 :]
+            first += 1
+        out.append((first + 1, b, text))
     return out
 
 

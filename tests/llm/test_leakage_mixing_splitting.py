@@ -163,6 +163,33 @@ def test_pieces_cut_between_definitions_and_overlap():
         assert lines[last].startswith("def") or lines[last] == ""  # what is new starts with a definition
 
 
+def test_nodes_that_fit_are_not_cut():
+    sizes = (41, 104, 104)
+    lines = []
+    for i, n in enumerate(sizes):
+        body = ["    " + "x" * 10] * 2
+        lines += [f"def f{i}(" + "a" * (n - 9 - sum(len(x) + 1 for x in body)) + "):", *body]
+    ends = [3, 6, 9]
+    assert [sum(len(x) + 1 for x in lines[e - 3 : e]) - 1 for e in ends] == list(sizes)
+    assert [(a, b) for a, b, _ in splitting.pieces(lines, 110, 0)] == [(1, 3), (4, 6), (7, 9)]
+
+
+def test_sections_of_unlike_parents_stay_apart():
+    text = ["# A", "aa " * 20, "## A1", "bb " * 20, "## A2", "cc", "# B", "dd", "## B1", "ee " * 20, "## B2", "ff " * 20]
+    got = splitting.pieces(text, 150, 0, True)
+    check(text, 150, 0, got)
+    starts = [text[a - 1] for a, _, _ in got]
+    assert all(x.startswith("#") for x in starts) and "# B" in starts
+
+
+def test_nested_heads_and_ends_go_with_what_they_hold():
+    deep = 40
+    lines = [" " * i + f"k{i}: {{" for i in range(deep)] + [" " * deep + "x" * 30] * 20 + [" " * i + "}" for i in range(deep - 1, -1, -1)]
+    got = splitting.pieces(lines, 400, 1)
+    check(lines, 400, 1, got)
+    assert len(got) <= 3 * sum(len(x) + 1 for x in lines) // 400
+
+
 def test_split_edges(spark):
     files = [(1, "a/b.PY", ["x" * 30]), (2, "a.py", None), (3, None, ["x" * 99]), (4, "a.zz", ["x" * 99]), (5, "a.py", []), (6, "a.py", ["ä" * 10, None]), (7, "a.py", ["é" * 5] * 3)]
     t = spark.createDataFrame([(*f, "clash") for f in files], "file_id long, relpath string, lines array<string>, text string")
