@@ -22,8 +22,9 @@ from .common import mix, signed
 WORD = re.compile(r"[a-z0-9]+")
 SPAN = 12
 GRAM = 6
-#: Test fingerprints are sent to all executors up to this number (8 bytes each); beyond it the join shuffles.
-SEND = 1_000_000
+#: Test fingerprints (16 bytes each) and the characters of the items are sent to all executors up to these numbers;
+#: beyond either of them both joins shuffle.
+SEND, SEND_CHARS = 1_000_000, 16_000_000
 
 
 class Winnower:
@@ -83,30 +84,79 @@ def longest_shared(a: list[str], b: list[str]) -> int:
     return best
 
 
+class Items:
+    """Fingerprints and words of held-out fields, small enough to be sent."""
+
+    def __init__(self, marks: np.ndarray, fields: np.ndarray, words: list[list[str]], span: int, gram: int):
+        order = np.argsort(marks, kind="stable")
+        self.marks, self.fields, self.words = marks[order], fields[order], words
+        self.span, self.winnow = span, Winnower(gram, span - gram + 1)
+
+    def hits(self, text: str) -> list[tuple[int, int]]:
+        """(field, words of the longest shared span) of the fields that share a fingerprint and a span with the text."""
+        own = signed(self.winnow(text))
+        at = np.searchsorted(self.marks, own)
+        own = own[(at < len(self.marks)) & (self.marks[np.minimum(at, len(self.marks) - 1)] == own)] if len(self.marks) else own[:0]
+        if not len(own):
+            return []
+        lo, hi = np.searchsorted(self.marks, own), np.searchsorted(self.marks, own, side="right")
+        words = WORD.findall(text.lower())
+        found = [(int(f), longest_shared(words, self.words[f])) for f in np.unique(np.concatenate([self.fields[i:j] for i, j in zip(lo, hi, strict=True)]))]
+        return [(f, n) for f, n in found if n >= self.span]
+
+
 def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, send: int = SEND) -> DataFrame:
     """(doc_id, item_id, field, words): fields of items of which a document has at least ``span`` words in a row.
 
     ``documents`` has doc_id, text; ``items`` item_id, field, text. NULL and short texts share nothing; repeated rows
     of one id count once; an empty table gives an empty result. words is the longest shared span.
+
+    Up to ``send`` test fingerprints the corpus is read once and not shuffled: fingerprints are joined and hits extended
+    where the document is. Beyond it both sides of the join are shuffled by fingerprint and the hits by document.
     """
     fields = items.where("item_id is not null and text is not null").select("item_id", "field", "text").distinct()
-    keyed = fields.select(F.xxhash64("item_id", "field").alias("id"), "item_id", "field", "text")
+    keyed = fields.select(F.xxhash64("item_id", "field", "text").alias("id"), "item_id", "field", "text")
+    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
     test = fingerprints(keyed, span)
-    docs = documents.select(F.col("doc_id").alias("id"), "text")
-    probe = fingerprints(docs, span)
     size = test.count()
-    test = test.withColumnRenamed("id", "field_id")
-    hits = probe.join(F.broadcast(test) if size <= send else test, "mark").select("id", "field_id").distinct()
+    if size <= send and (keyed.agg(F.sum(F.length("text"))).first()[0] or 0) <= SEND_CHARS:
+        found = _sent(docs, keyed, test, span)
+    else:
+        found = _shuffled(docs, keyed, test, span)
+    return found.groupBy("doc_id", "item_id", "field").agg(F.max("words").alias("words"))
+
+
+def _sent(docs: DataFrame, keyed: DataFrame, test: DataFrame, span: int) -> DataFrame:
+    own = keyed.toArrow()
+    place = {k: i for i, k in enumerate(own.column("id").to_pylist())}
+    marks = test.toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((
+        marks.column("mark").to_numpy(), np.array([place[k] for k in marks.column("id").to_pylist()], dtype=np.int64),
+        [WORD.findall(t.lower()) for t in own.column("text").to_pylist()], own.column("item_id").to_numpy(), own.column("field").to_pylist(),
+    ))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, fields, words, ids, names = sent.value
+        known = Items(marks, fields, words, span, GRAM)
+        for batch in batches:
+            rows = [(d, f, n) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f, n in known.hits(text)]
+            cols = [[d for d, _, _ in rows], [ids[f] for _, f, _ in rows], [names[f] for _, f, _ in rows], [n for _, _, n in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32()), strict=True)], names=["doc_id", "item_id", "field", "words"])
+
+    return docs.mapInArrow(look, "doc_id long, item_id long, field string, words int")
+
+
+def _shuffled(docs: DataFrame, keyed: DataFrame, test: DataFrame, span: int) -> DataFrame:
+    hits = fingerprints(docs, span).join(test.withColumnRenamed("id", "field_id").hint("merge"), "mark").select("id", "field_id").distinct()
     texts = keyed.select(F.col("id").alias("field_id"), "item_id", "field", F.col("text").alias("item_text"))
-    pairs = hits.join(texts, "field_id").join(docs.where("text is not null"), "id").select("id", "item_id", "field", "item_text", "text")
+    pairs = hits.join(texts.hint("merge"), "field_id").join(docs.hint("merge"), "id").select("id", "item_id", "field", "item_text", "text")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [longest_shared(WORD.findall(t.lower()), WORD.findall(i.lower())) for i, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, type=pa.int32())], names=["doc_id", "item_id", "field", "words"])
 
-    found = pairs.mapInArrow(extend, "doc_id long, item_id long, field string, words int").where(F.col("words") >= span)
-    return found.groupBy("doc_id", "item_id", "field").agg(F.max("words").alias("words"))
+    return pairs.mapInArrow(extend, "doc_id long, item_id long, field string, words int").where(F.col("words") >= span)
 
 
 def item_fields(items: DataFrame) -> DataFrame:
