@@ -17,6 +17,11 @@ class Bad(Exception):
 
 #: Character codes: tokens of fixed spelling from KEY on, interned groups from GROUP on.
 KEY, GROUP, ROOM = 0xE000, 0x10000, 0x80000
+MOST = 0x110000 - GROUP
+
+
+class Full(Exception):
+    """No character is left for another group."""
 
 
 class Language:
@@ -39,6 +44,8 @@ class Language:
         key = bracket + content
         k = self.groups.get(key)
         if k is None:
+            if len(self.content) >= MOST:
+                raise Full
             k = self.groups[key] = len(self.content)
             self.content.append(key)
         return chr(GROUP + k)
@@ -47,7 +54,20 @@ class Language:
         if len(self.content) > ROOM or len(self.known) > 4 * ROOM:
             self.clear()
         try:
-            return self.fits("file", self.lex(text))
+            content = self.lex(text)
+        except Full:  # with all room to itself a file has a million different groups; one with more isn't refused
+            self.clear()
+            try:
+                content = self.lex(text)
+            except Full:
+                self.clear()
+                return True
+            except Bad:
+                return False
+        except (Bad, RecursionError):
+            return False
+        try:
+            return self.fits("file", content)
         except (Bad, RecursionError):
             return False
 
