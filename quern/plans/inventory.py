@@ -13,19 +13,6 @@ from quern.sources.tables import table, texts
 AS_OF = "2025-11-01"
 CUTOFF = "2025-06-01"
 
-#: Fixed: patterns of the text signals; (rule, severity, pattern), in the order in which rows of a rule are numbered.
-SIGNALS = [
-    ("secret_pattern", "critical", r"(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*['\"][^'\"]{8,}['\"]"),
-    ("risky_api", "high", r"eval\s*\("),
-    ("risky_api", "high", r"exec\s*\("),
-    ("risky_api", "high", r"subprocess\.(Popen|run)\("),
-    ("risky_api", "high", r"os\.system\s*\("),
-    ("risky_api", "high", r"innerHTML\s*="),
-    ("data_boundary", "medium", r"(json\.loads|yaml\.load|pickle\.loads|marshal\.loads)"),
-    ("data_boundary", "medium", r"(http\.|requests\.|fetch\(|aiohttp|urllib)"),
-]
-
-
 def file_inventory(spark: SparkSession, d: str) -> DataFrame:
     f = texts(spark, d)
     p = F.col("relpath")
@@ -40,33 +27,23 @@ def content_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy(F.sha2("source_bytes", 256).alias("hash")).agg(F.count(F.lit(1)).alias("files"), F.countDistinct("repo_id").alias("repos"), F.min("file_id").alias("first_file")).where("files > 1")
 
 
-def text_signals(spark: SparkSession, d: str) -> DataFrame:
-    """One row per file and pattern that occurs; of risky_api the first three in pattern order."""
-    f = texts(spark, d)
-    hits = [F.when(F.col("text").rlike(p), F.lit(k)) for k, (_, _, p) in enumerate(SIGNALS)]
-    found = f.select("file_id", F.explode(F.array_compact(F.array(*hits))).alias("no"))
-    rules, levels = (F.array(*[F.lit(s[k]) for s in SIGNALS])[F.col("no")] for k in (0, 1))
-    rows = found.select("file_id", "no", rules.alias("rule"), levels.alias("severity"))
-    rn = F.row_number().over(Window.partitionBy("file_id", "rule").orderBy("no"))
-    return rows.withColumn("rn", rn).where("rule <> 'risky_api' or rn <= 3").select("file_id", "rule", "severity", "no")
-
-
-def signal_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = text_signals(spark, d)
-    rank = S.lookup(S.SEVERITIES, F.col("severity"))
-    return s.groupBy("file_id").agg(F.count(F.lit(1)).alias("signals"), F.max_by("severity", rank).alias("max_severity"), F.sum(rank).alias("risk"))
-
-
 def line_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 200 lines that share 40; files of up to 260 lines are one."""
     f = table(spark, d, "parse_results").where("lines is not null")
-    return chunks.line_chunks(f.select("file_id", F.size("lines").alias("n")), size=80, overlap=16, threshold=100)
+    return chunks.line_chunks(f.select("file_id", F.size("lines").alias("n")))
 
 
 def chunk_sampling(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks not seen before (chunk 1 of every third file was), at most three per file, evenly spaced."""
-    every = line_chunks(spark, d)
-    seen = every.where("chunk_no = 1 and file_id % 3 = 0").select("file_id", "chunk_no")
-    return chunks.sample_even(every.join(seen, ["file_id", "chunk_no"], "left_anti"), "file_id", "chunk_no", 3)
+    """The chunks of each file that are sent on: all of up to six; of files with more only those that no earlier delivery
+    of the path had with the same text, at most six of them, evenly spaced."""
+    f = table(spark, d, "parse_results").where("lines is not null").select("file_id", "repo_id", "relpath", "last_seen_at", "lines")
+    each = line_chunks(spark, d)
+    many = each.groupBy("file_id").agg(F.count(F.lit(1)).alias("all")).where("all > 6").select("file_id")
+    few = each.join(many, "file_id", "left_anti")
+    text = each.join(f, "file_id").select("file_id", "repo_id", "relpath", "last_seen_at", "chunk_no", "first_line", "last_line", F.sha2(F.array_join(F.slice("lines", F.col("first_line"), F.col("last_line") - F.col("first_line") + 1), "\n"), 256).alias("hash"))
+    first = text.where("relpath is not null").groupBy("repo_id", "relpath", "chunk_no", "hash").agg(F.min(F.struct("last_seen_at", "file_id")).alias("at"))  # the delivery that had a chunk first
+    unseen = text.join(many, "file_id", "left_semi").join(first, ["repo_id", "relpath", "chunk_no", "hash"], "left").where("at is null or at.file_id = file_id").select("file_id", "chunk_no", "first_line", "last_line")
+    return few.unionByName(chunks.sample_even(unseen, "file_id", "chunk_no", 6))
 
 
 def read_range(spark: SparkSession, d: str) -> DataFrame:
@@ -175,24 +152,6 @@ def recent_selections(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy("repo_id", "path").agg(F.count(F.lit(1)).alias("kept"), F.count_if(F.col("t") >= F.col("top") - 60 * 86_400_000_000).alias("recent"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """Per repository and path: lines, changes, findings, and a score of these."""
-    f = texts(spark, d).where("relpath is not null").groupBy("repo_id", "relpath").agg(F.max(S.line_count(F.col("text"))).alias("lines"))
-    c = churn(spark, d).withColumnRenamed("path", "relpath")
-    n = table(spark, d, "findings").groupBy("repo_id", F.col("evidence.file").alias("relpath")).agg(F.count(F.lit(1)).alias("findings"))
-    f = f.join(c, ["repo_id", "relpath"], "left").join(n, ["repo_id", "relpath"], "left").fillna(0, ["changes", "findings", "lines"])
-    return f.withColumn("score", F.round(F.least("changes", F.lit(20)) + F.least(F.col("lines") / 100, F.lit(10.0)) + 3 * F.col("findings") + F.when(S.is_test(F.col("relpath")), 1.0).otherwise(2.0), 6))
-
-
-def file_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d)
-
-
-def diversity_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Per repository eight files: six by score, two of the rest with the fewest changes first."""
-    return ranking.topk_with_quota(_scored(spark, d), ["repo_id"], ["relpath"], 8, [F.desc("score"), F.desc("findings"), F.asc("relpath")], [F.asc("changes"), F.desc("score"), F.asc("relpath")]).select("repo_id", "relpath", "chosen_by", "place")
-
-
 def selection_gini(spark: SparkSession, d: str) -> DataFrame:
     """How unevenly changes fall on the paths of each repository."""
     return ranking.gini(churn(spark, d), ["repo_id"], "changes")
@@ -201,8 +160,8 @@ def selection_gini(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_inventory, content_duplicates, text_signals, signal_summary, line_chunks, chunk_sampling, read_range, prompt_truncation, line_search, snapshot_diff, missing_carry_forward,
-        neighbor_activity, ttl_staleness, same_folder_neighbors, test_stems, longest_prefix_owner, glob_suppression, churn, change_bursts, recent_selections, file_score, diversity_topk, selection_gini,
+        file_inventory, content_duplicates, line_chunks, chunk_sampling, read_range, prompt_truncation, line_search, snapshot_diff, missing_carry_forward,
+        neighbor_activity, ttl_staleness, same_folder_neighbors, test_stems, longest_prefix_owner, glob_suppression, churn, change_bursts, recent_selections, selection_gini,
     )
 }
 
@@ -221,11 +180,9 @@ def _sql(s: str, p: str = "relpath") -> str:
 
 
 _CASE_LANG = "CASE @EXT " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.LANGUAGES.items()) + " WHEN '' THEN 'unknown' ELSE substr(@EXT, 2) END"
-_HITS = " UNION ALL ".join(f"SELECT file_id, {k} AS no, '{r}' AS rule, '{s}' AS severity FROM texts WHERE regexp_matches(text, $${p}$$)" for k, (r, s, p) in enumerate(SIGNALS))
-_SIG = f"WITH @TEXTS, hits AS ({_HITS}), s AS (SELECT *, row_number() OVER (PARTITION BY file_id, rule ORDER BY no) AS rn FROM hits), sig AS (SELECT file_id, rule, severity, no FROM s WHERE rule <> 'risky_api' OR rn <= 3)"
 _CHUNKS = (
-    "WITH f AS (SELECT file_id, len(lines) AS n FROM parse_results WHERE lines IS NOT NULL), c AS (SELECT file_id, 1 AS chunk_no, 1 AS first_line, n AS last_line FROM f WHERE n <= 100 AND n > 0 UNION ALL "
-    "SELECT file_id, k + 1, k * 64 + 1, least(n, k * 64 + 80) FROM f, range(0, 100000) r(k) WHERE n > 100 AND (k = 0 OR (k - 1) * 64 + 80 < n))"
+    "WITH f AS (SELECT file_id, repo_id, relpath, last_seen_at, lines, len(lines) AS n FROM parse_results WHERE lines IS NOT NULL), c AS (SELECT file_id, 1 AS chunk_no, 1 AS first_line, n AS last_line FROM f WHERE n <= 260 AND n > 0 UNION ALL "
+    "SELECT file_id, k + 1, k * 160 + 1, least(n, k * 160 + 200) FROM f, range(0, 100000) r(k) WHERE n > 260 AND (k = 0 OR (k - 1) * 160 + 200 < n))"
 )
 _SNAP = (
     "WITH a AS (SELECT repo_id, relpath, arg_max(sha256(source_bytes), (last_seen_at, file_id)) AS hash FROM parse_results WHERE relpath IS NOT NULL AND first_seen_at < @CUT GROUP BY 1, 2), "
@@ -234,23 +191,17 @@ _SNAP = (
     "WHEN a.hash IS NOT DISTINCT FROM b.hash THEN 'same' ELSE 'dirty' END AS state FROM a FULL JOIN b ON a.repo_id = b.repo_id AND a.relpath = b.relpath)"
 )
 _CHURN = "churn AS (SELECT repo_id, path, count(*) AS changes FROM (SELECT repo_id, unnest(paths) AS path FROM changesets WHERE created_at BETWEEN @ASOF - INTERVAL 90 DAY AND @ASOF) WHERE path IS NOT NULL GROUP BY 1, 2)"
-_SCORED = (
-    f"WITH @TEXTS, {_CHURN}, l AS (SELECT repo_id, relpath, max(@COUNT) AS lines FROM texts WHERE relpath IS NOT NULL GROUP BY 1, 2), n AS (SELECT repo_id, evidence.file AS relpath, count(*) AS findings FROM findings GROUP BY 1, 2), "
-    "j AS (SELECT l.repo_id, l.relpath, l.lines, coalesce(c.changes, 0) AS changes, coalesce(n.findings, 0) AS findings FROM l LEFT JOIN churn c ON c.repo_id = l.repo_id AND c.path = l.relpath LEFT JOIN n ON n.repo_id = l.repo_id AND n.relpath = l.relpath), "
-    "scored AS (SELECT *, round(least(changes, 20) + least(lines / 100.0, 10.0) + 3 * findings + CASE WHEN @TEST THEN 1.0 ELSE 2.0 END, 6)::double AS score FROM j)"
-)
-
 SQL = {
     k: _sql(v)
     for k, v in {
         "file_inventory": rf"WITH @TEXTS SELECT file_id, repo_id, relpath, @EXT AS extension, {_CASE_LANG} AS language, @TEST AS is_test, octet_length(source_bytes) AS bytes, @COUNT AS line_count, substr(sha256(source_bytes), 1, 16) AS content_hash, "
         r"len(string_split(relpath, '/')) - 1 AS depth FROM texts WHERE NOT regexp_matches(relpath, '(^|/)\.[^/]') AND NOT regexp_matches(lower(relpath), '\.g\.|\.gen\.|\.generated\.|\.min\.|_pb2\.|\.pb\.')",
         "content_duplicates": "SELECT sha256(source_bytes) AS hash, count(*) AS files, count(DISTINCT repo_id) AS repos, min(file_id) AS first_file FROM parse_results WHERE source_bytes IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-        "text_signals": _SIG + " SELECT file_id, rule, severity, no FROM sig",
-        "signal_summary": _SIG + ", r AS (SELECT *, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 4 WHEN 'high' THEN 8 ELSE 12 END AS w FROM sig) SELECT file_id, count(*) AS signals, arg_max(severity, w) AS max_severity, sum(w) AS risk FROM r GROUP BY 1",
         "line_chunks": _CHUNKS + " SELECT file_id, chunk_no, first_line, last_line FROM c",
-        "chunk_sampling": _CHUNKS + ", u AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY chunk_no) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS m FROM c WHERE NOT (chunk_no = 1 AND file_id % 3 = 0)) "
-        "SELECT file_id, chunk_no, first_line, last_line FROM u WHERE m <= 3 OR i IN (0, round_even((m - 1) / 2.0, 0)::int, m - 1)",
+        "chunk_sampling": _CHUNKS + ", m AS (SELECT file_id FROM c GROUP BY 1 HAVING count(*) > 6), t AS (SELECT c.*, f.repo_id, f.relpath, f.last_seen_at, array_to_string(f.lines[first_line:last_line], chr(10)) AS x FROM c JOIN f USING (file_id)), "
+        "u AS (SELECT * FROM t WHERE file_id IN (SELECT file_id FROM m) AND NOT EXISTS (SELECT 1 FROM t o WHERE o.repo_id = t.repo_id AND o.relpath = t.relpath AND o.chunk_no = t.chunk_no AND o.x = t.x AND (o.last_seen_at, o.file_id) < (t.last_seen_at, t.file_id))), "
+        "v AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY chunk_no) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS k FROM u) SELECT file_id, chunk_no, first_line, last_line FROM c WHERE file_id NOT IN (SELECT file_id FROM m) "
+        "UNION ALL SELECT file_id, chunk_no, first_line, last_line FROM v WHERE k <= 6 OR i IN (SELECT round_even((k - 1) * j / 5.0, 0)::int FROM range(0, 6) r(j))",
         "read_range": "SELECT file_id, array_to_string([(i + 2) || ': ' || lines[i + 2] FOR i IN range(1, least(6, len(lines) - 1))], chr(10)) AS text FROM parse_results WHERE lines IS NOT NULL AND len(lines) >= 3",
         "prompt_truncation": "SELECT file_id, array_to_string(lines[1:40], chr(10)) || CASE WHEN len(lines) > 40 THEN chr(10) || '(truncated, ' || len(lines) || ' total lines)' ELSE '' END AS prompt FROM parse_results WHERE lines IS NOT NULL",
         "line_search": "SELECT file_id, i AS line_no, lines[i] AS line FROM parse_results, range(1, 100000) r(i) WHERE lines IS NOT NULL AND i <= len(lines) AND regexp_matches(lines[i], 'TODO|FIXME')",
@@ -270,9 +221,6 @@ SQL = {
         "SELECT repo_id, sum(n) AS paths, count(*) FILTER (n > 0) AS filled FROM c WHERE rn <= 5 GROUP BY 1 HAVING sum(n) > 10 AND count(*) FILTER (n > 0) >= 2",
         "recent_selections": "WITH c AS (SELECT repo_id, path, t FROM (SELECT repo_id, unnest(paths) AS path, epoch_us(created_at) AS t FROM changesets) WHERE path IS NOT NULL AND t IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY t DESC) AS rn FROM c) "
         "SELECT repo_id, path, count(*) AS kept, count(*) FILTER (t >= (SELECT max(t) FROM c) - 60 * 86400000000) AS recent FROM r WHERE rn <= 12 GROUP BY 1, 2",
-        "file_score": _SCORED + " SELECT repo_id, relpath, lines, changes, findings, score FROM scored",
-        "diversity_topk": _SCORED + ", a AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY score DESC, findings DESC, relpath) AS r FROM scored), b AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY changes, score DESC, relpath) AS q FROM a WHERE r > 6) "
-        "SELECT repo_id, relpath, 'priority' AS chosen_by, r AS place FROM a WHERE r <= 6 UNION ALL SELECT repo_id, relpath, 'diversity', q FROM b WHERE q <= 2",
         "selection_gini": f"WITH {_CHURN}, r AS (SELECT repo_id, changes, row_number() OVER (PARTITION BY repo_id ORDER BY changes) AS i, count(*) OVER (PARTITION BY repo_id) AS n, sum(changes) OVER (PARTITION BY repo_id) AS s FROM churn) "
         "SELECT repo_id, round(greatest(0, 2.0 * sum(i * changes) / (any_value(n) * any_value(s)) - (any_value(n) + 1.0) / any_value(n)), 6)::double AS gini FROM r GROUP BY 1",
     }.items()
