@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("inventory", "crawl", "graph", "findings", "dedup", "source", "text", "streams")
+MODULES = ("inventory", "crawl", "graph", "findings", "dedup", "source", "text", "examples", "records", "streams")
 
 
 def _modules():

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quern.functions import scalars as S
+from quern.functions import pysource, scalars as S
 from quern.functions.pysource import ADAPTERS
-from quern.operators import cascade, chunks, graph, joins, ranking, vectors
+from quern.operators import cascade, chunks, graph, joins, ranking, resolve, vectors
+from quern.plans import examples, text
 from quern.sources import sinks, state
 
 
@@ -152,6 +153,40 @@ def test_udtfs(spark):
     assert rows("signals", src) == [("dynamic_execution", 10)] and rows("signals", "def (") == [("syntax_error", 1)] and rows("symbols", "def (") == []
 
 
+def test_edges_from_source(spark):
+    f, files = examples.tree(spark, repos=(1, 2))
+    assert {(x.repo_id, x.caller, x.callee) for x in resolve.edges(f, files).collect()} == {(r, *e) for r in (1, 2) for e in examples.EDGES}
+    got = {(x.relpath, x.bound, x.target, x.symbol) for x in resolve.targets(f, files).where("repo_id = 1").collect()}
+    assert ("app/sub/deep.py", "util", "app/util.py", None) in got and ("app/main.py", "app", "app/util.py", None) in got and ("app/main.py", "missing", "app/util.py", "missing") in got
+    assert not any(b in ("x", "y", "path") for _, b, _, _ in got)
+    one = [x for x in f.where("repo_id = 1 and kind = 'signal'").collect()]
+    assert [(x.relpath, x.name) for x in one] == [("app/broken.py", "syntax_error")]
+    none, nofiles = examples.tree(spark, {"a.py": "", "b.py": None, "c.rb": "x"})
+    assert none.collect() == [] and resolve.edges(none, nofiles).collect() == []
+
+
+def test_outlines_of_other_languages(spark):
+    f, _ = examples.tree(spark, {
+        "a.ts": "import { x } from './lib/x';\nimport 'side';\nexport async function go(a: number) {}\nexport default class Box {}\ninterface Shape {}\nexport const add = (a: number): number => a;\nconst n = 3;\n  function inner() {}\n",
+        "b.go": 'package main\n\nimport (\n\t"fmt"\n\tlog "my/log"\n)\n\nfunc Run() {}\nfunc (s *Set) Add(x int) {}\ntype Set struct {}\n',
+    })
+    got = {(x.relpath, x.kind, x.name or x.bound, x.of, x.start_line) for x in f.collect()}
+    assert got == {
+        ("a.ts", "import", "x", "./lib/x", 1), ("a.ts", "import", "side", "side", 2), ("a.ts", "symbol", "go", "function", 3), ("a.ts", "symbol", "Box", "class", 4), ("a.ts", "symbol", "Shape", "interface", 5), ("a.ts", "symbol", "add", "function", 6),
+        ("b.go", "import", "fmt", "fmt", 4), ("b.go", "import", "log", "my/log", 5), ("b.go", "symbol", "Run", "function", 8), ("b.go", "symbol", "Add", "method", 9), ("b.go", "symbol", "Set", "class", 10),
+    }
+    assert not pysource.register(".py", pysource.FACTS[".go"])
+
+
+def test_unused_imports_and_reexports(spark, tmp_path):
+    rows = [(1, 1, "m/a.py", "import os\nfrom x import y, _z\nfrom q import kept\n__all__ = ['kept']\n"), (2, 1, "m/b.py", "from m.a import y\ny\n"), (3, 2, "c.py", "import os, re\nre.x\n"), (4, 3, "d.py", None)]
+    df = spark.createDataFrame([(i, r, p, t.split("\n") if t is not None else None) for i, r, p, t in rows], "file_id long, repo_id int, relpath string, lines array<string>")
+    df.write.parquet(f"{tmp_path}/parse_results.parquet")
+    got = {(x.file_id, x.bound): x.around for x in text.unused_imports(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, "os"), (1, "y"), (1, "_z"), (3, "os")} and got[(1, "y")] == "import os\nfrom x import y, _z\nfrom q import kept"
+    assert {(x.file_id, x.names, x.unused) for x in text.unused_imports_by_file(spark, str(tmp_path)).collect()} == {(1, "os", 1), (3, "os", 1)}
+
+
 def test_hashes_without_builtins(spark):
     import hashlib
 
