@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder that spark.checkpoint.dir names; one is set only where there is none."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. One of this machine is taken only where none is named and all runs
+    on this machine, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -39,6 +49,17 @@ def callers_within(edges: DataFrame, seeds: DataFrame, depth: int, key: str = "s
     return met.where("depth > 0")
 
 
+def near_callers(edges: DataFrame) -> DataFrame:
+    """(symbol_id, callers): how many distinct symbols call a symbol in one step or in two, itself not counted.
+
+    Only the distinct pairs are shuffled, and counted where they lie: nothing is stored between the steps. A hub's
+    callers are spread over its callers' callers in the join, which Spark splits where they are skewed.
+    """
+    one = edges.select(F.col("callee").alias("symbol_id"), "caller")
+    two = one.select("symbol_id", F.col("caller").alias("via")).join(edges.select(F.col("callee").alias("via"), "caller").hint("merge"), "via").select("symbol_id", "caller")
+    return one.union(two).where("caller <> symbol_id").distinct().groupBy("symbol_id").agg(F.count(F.lit(1)).alias("callers"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(symbol_id, degree): the number of distinct edges at either end."""
     ends = edges.select(F.col("caller").alias("symbol_id")).union(edges.select(F.col("callee").alias("symbol_id")))

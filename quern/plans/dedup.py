@@ -10,6 +10,10 @@ from quern.operators import cascade, vectors
 from quern.sources.tables import table
 
 
+#: Centroids that may be sent to every task, of some hundred numbers each.
+MOST_LABELS = 4096
+
+
 def dedup_exact(spark: SparkSession, d: str) -> DataFrame:
     """Repeated texts of documents: their hash, number, and first id."""
     t = table(spark, d, "documents").where("text is not null and doc_id is not null")
@@ -41,7 +45,9 @@ def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").where("embedding is not null")
     c = vectors.centroid_vectors(e, "label", "embedding")
     q = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    j = q.crossJoin(F.broadcast(c))  # ten labels by the table's definition
+    if e.select("label").distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} centroids are not sent to every task")
+    j = q.crossJoin(F.broadcast(c))  # as many rows as labels, checked
     s = j.select("vec_id", "label", F.round(S.cosine(F.col("v"), F.col("centroid")), 6).alias("similarity"))
     best = s.groupBy("vec_id").agg(F.max(F.struct("similarity", (-F.col("label")).alias("n"))).alias("b"))
     return best.select("vec_id", (-F.col("b.n")).alias("label"), F.col("b.similarity").alias("similarity"))

@@ -139,18 +139,6 @@ def recurring_categories(spark: SparkSession, d: str) -> DataFrame:
     return g.join(n, "repo_id").where("had * 2 > batches").select("repo_id", "category", "had", "batches")
 
 
-def legacy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """The first earlier row (lower batch) with a finding's id, or else with its category, file and description hash."""
-    f = _f(spark, d).where("batch_no is not null").select(
-        "finding_key", "repo_id", "batch_no", S.tidy(F.col("finding_id")).alias("fid"), S.tidy(F.col("category")).alias("category"), F.col("evidence.file").alias("file"), S.short_hash(F.col("description")).alias("dh")
-    )
-    by_id = f.where("fid is not null").groupBy("repo_id", "fid").agg(F.min(F.struct("batch_no", "finding_key")).alias("a"))
-    by_text = f.where("dh is not null").groupBy("repo_id", "category", "file", "dh").agg(F.min(F.struct("batch_no", "finding_key")).alias("b"))
-    j = f.join(by_id, ["repo_id", "fid"], "left").join(by_text, ["repo_id", "category", "file", "dh"], "left")
-    first = F.coalesce(F.when(F.col("a.batch_no") < F.col("batch_no"), F.col("a.finding_key")), F.when(F.col("b.batch_no") < F.col("batch_no"), F.col("b.finding_key")))
-    return j.select("finding_key", first.alias("duplicate_of")).where("duplicate_of is not null")
-
-
 def pr_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """The outcome of each pull request and how many findings it closes."""
     f = _f(spark, d).where("pr_number is not null")
@@ -161,7 +149,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         findings_by_file, finding_fingerprint, evidence_packet, rule_suppression, duplicate_gate, max_findings_cutoff, status_by_category, benchmark_by_category, prune_findings, group_similar, latest_template,
-        band_match, issue_validation, sarif_results, recurring_categories, legacy_dedup, pr_outcomes,
+        band_match, issue_validation, sarif_results, recurring_categories, pr_outcomes,
     )
 }
 
@@ -200,8 +188,5 @@ SQL = {
     "CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '... (' || (length(t) - 80) || ' more)' ELSE t END AS message, coalesce(evidence.file, '') AS uri, greatest(coalesce(evidence.line, 1), 1) AS start_line FROM m",
     "recurring_categories": f"WITH {_F}, g AS (SELECT DISTINCT repo_id, batch_no, {_tidy('category')} AS category FROM f WHERE category IS NOT NULL AND batch_no IS NOT NULL), b AS (SELECT repo_id, batch_no, row_number() OVER (PARTITION BY repo_id ORDER BY batch_no DESC) AS rn FROM (SELECT DISTINCT repo_id, batch_no FROM g)), "
     "l AS (SELECT * FROM b WHERE rn <= 10), n AS (SELECT repo_id, count(*) AS batches FROM l GROUP BY 1 HAVING count(*) >= 3) SELECT g.repo_id, category, count(*) AS had, any_value(batches) AS batches FROM g JOIN l USING (repo_id, batch_no) JOIN n ON n.repo_id = g.repo_id GROUP BY 1, 2 HAVING count(*) * 2 > any_value(batches)",
-    "legacy_dedup": f"WITH {_F}, g AS (SELECT finding_key, repo_id, batch_no, {_tidy('finding_id')} AS fid, {_tidy('category')} AS category, evidence.file AS file, substr(sha256(description), 1, 16) AS dh FROM f WHERE batch_no IS NOT NULL), a AS (SELECT repo_id, fid, min((batch_no, finding_key)) AS m FROM g WHERE fid IS NOT NULL GROUP BY 1, 2), "
-    "b AS (SELECT repo_id, category, file, dh, min((batch_no, finding_key)) AS m FROM g WHERE dh IS NOT NULL GROUP BY 1, 2, 3, 4), j AS (SELECT g.finding_key, coalesce(CASE WHEN struct_extract(a.m, 1) < g.batch_no THEN struct_extract(a.m, 2) END, CASE WHEN struct_extract(b.m, 1) < g.batch_no THEN struct_extract(b.m, 2) END) AS duplicate_of "
-    "FROM g LEFT JOIN a ON a.repo_id = g.repo_id AND a.fid = g.fid LEFT JOIN b ON b.repo_id = g.repo_id AND b.category = g.category AND b.file = g.file AND b.dh = g.dh) SELECT * FROM j WHERE duplicate_of IS NOT NULL",
     "pr_outcomes": f"WITH {_F} SELECT repo_id, pr_number, count(*) AS findings, max(coalesce(merge_outcome, '')) AS outcome, sum(coalesce(verification.tests_failed, 0)) AS failed FROM f WHERE pr_number IS NOT NULL GROUP BY 1, 2",
 }

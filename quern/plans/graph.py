@@ -55,7 +55,9 @@ def callers_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 def invalidation_plan(spark: SparkSession, d: str) -> DataFrame:
     """Per changeset: sweep (fresh), empty or bounded; the number of affected symbols and of affected files."""
-    near = callers_bounded(spark, d).select("changeset_id", "symbol_id").union(changed_symbols(spark, d)).distinct()
+    _, e = _graph(spark, d)
+    changed = G.cut(changed_symbols(spark, d))  # both the seeds and part of the answer
+    near = G.callers_within(e, changed, DEPTH, "changeset_id").select("changeset_id", "symbol_id").union(changed).distinct()
     hosts = near.join(table(spark, d, "symbols").select("symbol_id", "path").distinct(), "symbol_id", "left")
     paths = hosts.select("changeset_id", F.coalesce("path", F.substring_index("symbol_id", "::", 1)).alias("path"))
     raw = table(spark, d, "changesets").select("changeset_id", F.explode("paths").alias("path")).where("path is not null")
@@ -109,10 +111,9 @@ def shard_documents(spark: SparkSession, d: str) -> DataFrame:
 def impact_signal(spark: SparkSession, d: str) -> DataFrame:
     """log2(1 + callers within two steps) / log2(1 + symbols), for every symbol that is called."""
     symbols, e = _graph(spark, d)
-    seeds = e.select(F.col("callee").alias("seed"), F.col("callee").alias("symbol_id")).distinct()
-    near = G.callers_within(e, seeds, 2).where("symbol_id <> seed").groupBy("seed").agg(F.count(F.lit(1)).alias("callers"))
+    near = G.near_callers(e)
     total = symbols.agg(F.count(F.lit(1)).alias("total"))
-    return near.crossJoin(F.broadcast(total)).select(F.col("seed").alias("symbol_id"), "callers", F.round(S.impact(F.col("callers"), F.col("total")), 6).alias("impact"))
+    return near.crossJoin(F.broadcast(total)).select("symbol_id", "callers", F.round(S.impact(F.col("callers"), F.col("total")), 6).alias("impact"))
 
 
 def priority_score(spark: SparkSession, d: str) -> DataFrame:

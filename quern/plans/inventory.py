@@ -86,8 +86,8 @@ def missing_carry_forward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbor_activity(spark: SparkSession, d: str) -> DataFrame:
-    """Unchanged files of a top folder of a repository in which something else changed."""
-    state = snapshot_diff(spark, d).where("state in ('same', 'dirty', 'added')").withColumn("folder", F.substring_index("relpath", "/", 1))
+    """Unchanged files of a folder in which something else changed."""
+    state = snapshot_diff(spark, d).where("state in ('same', 'dirty', 'added')").withColumn("folder", S.parent(F.col("relpath")))
     active = state.where("state <> 'same'").select("repo_id", "folder").distinct()
     return state.where("state = 'same'").join(active, ["repo_id", "folder"], "left_semi").select("repo_id", "relpath", "folder")
 
@@ -170,7 +170,8 @@ _BASE = r"regexp_extract({p}, '([^/]*)$', 1)"
 _TEST = r"(regexp_matches(lower({p}), '(^|/)tests?/') OR regexp_matches(lower(regexp_extract({p}, '([^/]*)$', 1)), '^test_|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$'))"
 _PARENT = r"(CASE WHEN regexp_extract({p}, '^(.*)/[^/]*$', 1) = '' THEN '.' ELSE regexp_extract({p}, '^(.*)/[^/]*$', 1) END)"
 _TEXTS = "texts AS (SELECT *, array_to_string(lines, chr(10)) AS text FROM parse_results WHERE lines IS NOT NULL)"
-_COUNT = r"(CASE WHEN text = '' THEN 0 ELSE len(regexp_split_to_array(text, '\r\n|\n|\r')) - CASE WHEN regexp_matches(text, '(\r|\n)\z') THEN 1 ELSE 0 END END)"
+_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_COUNT = rf"(CASE WHEN text = '' THEN 0 ELSE len(regexp_split_to_array(text, '{_ENDS}')) - CASE WHEN regexp_matches(text, '({_ENDS})\z') THEN 1 ELSE 0 END END)"
 
 
 def _sql(s: str, p: str = "relpath") -> str:
@@ -207,7 +208,7 @@ SQL = {
         "line_search": "SELECT file_id, i AS line_no, lines[i] AS line FROM parse_results, range(1, 100000) r(i) WHERE lines IS NOT NULL AND i <= len(lines) AND regexp_matches(lines[i], 'TODO|FIXME')",
         "snapshot_diff": _SNAP + " SELECT repo_id, relpath, state FROM d",
         "missing_carry_forward": _SNAP + ", s AS (SELECT repo_id, relpath, max(last_seen_at) AS seen FROM parse_results GROUP BY 1, 2) SELECT a.repo_id, a.relpath, a.hash FROM a JOIN d USING (repo_id, relpath) JOIN s USING (repo_id, relpath) WHERE d.state = 'deleted' AND seen >= @ASOF - INTERVAL 200 DAY",
-        "neighbor_activity": _SNAP + ", e AS (SELECT *, split_part(relpath, '/', 1) AS folder FROM d WHERE state <> 'deleted') SELECT repo_id, relpath, folder FROM e WHERE state = 'same' AND EXISTS (SELECT 1 FROM e x WHERE x.repo_id = e.repo_id AND x.folder = e.folder AND x.state <> 'same')",
+        "neighbor_activity": _SNAP + ", e AS (SELECT *, @PARENT AS folder FROM d WHERE state <> 'deleted') SELECT repo_id, relpath, folder FROM e WHERE state = 'same' AND EXISTS (SELECT 1 FROM e x WHERE x.repo_id = e.repo_id AND x.folder = e.folder AND x.state <> 'same')",
         "ttl_staleness": "WITH t AS (SELECT file_id, last_seen_at, CASE WHEN @TEST THEN 14 WHEN regexp_matches(relpath, '^(src|lib|app|pkg)/') THEN 7 ELSE 21 END AS ttl FROM parse_results WHERE relpath IS NOT NULL) "
         "SELECT file_id, ttl, coalesce((epoch_us(@ASOF) - epoch_us(last_seen_at)) / 86400e6 >= ttl, true) AS stale FROM t",
         "same_folder_neighbors": "WITH f AS (SELECT DISTINCT repo_id, relpath, @PARENT AS folder FROM parse_results WHERE relpath IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, folder ORDER BY relpath) AS rn FROM f) SELECT * FROM r WHERE rn <= 5",

@@ -24,14 +24,6 @@ def name_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return _words(spark, d).join(names, ["repo_id", "name"]).groupBy("repo_id", "name").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files"))
 
 
-def unreferenced_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Functions whose name stands at most once in the files of their repository and whom no edge calls."""
-    s = table(spark, d, "symbols").where("kind = 'function' and symbol_id is not null").where(~F.col("name").rlike("^(main|test_|_|init)")).select("symbol_id", "repo_id", "name").distinct()
-    many = name_occurrences(spark, d).where("occurrences > 1").select("repo_id", "name")
-    called = table(spark, d, "edges").where("caller <> callee").select(F.col("callee").alias("symbol_id"))
-    return s.join(many, ["repo_id", "name"], "left_anti").join(called, "symbol_id", "left_anti").select("symbol_id")
-
-
 def shared_names(spark: SparkSession, d: str) -> DataFrame:
     """Symbol names that several repositories declare."""
     return table(spark, d, "symbols").where("name is not null").groupBy("name").agg(F.countDistinct("repo_id").alias("repos"), F.countDistinct("symbol_id").alias("symbols")).where("repos > 1")
@@ -83,7 +75,7 @@ def symbol_gaps(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("gap", F.lead("start_line").over(w) - F.col("end_line") - 1).where("gap is not null").select("symbol_id", "start_line", "gap")
 
 
-QUERIES = {f.__name__: f for f in (name_occurrences, unreferenced_functions, shared_names, replace_first, change_modes, folder_rollup, files_without_symbols, enclosing_symbols, symbol_gaps)}
+QUERIES = {f.__name__: f for f in (name_occurrences, shared_names, replace_first, change_modes, folder_rollup, files_without_symbols, enclosing_symbols, symbol_gaps)}
 
 _T = "texts AS (SELECT *, array_to_string(lines, chr(10)) AS text FROM parse_results WHERE lines IS NOT NULL)"
 _OCC = (
@@ -94,7 +86,6 @@ _LANG = r"CASE e " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.LANGUAGES.i
 
 SQL = {
     "name_occurrences": f"{_OCC} SELECT repo_id, name, occurrences, files FROM o",
-    "unreferenced_functions": f"{_OCC} SELECT DISTINCT symbol_id FROM symbols y WHERE kind = 'function' AND symbol_id IS NOT NULL AND NOT regexp_matches(name, '^(main|test_|_|init)') AND NOT EXISTS (SELECT 1 FROM o WHERE o.repo_id = y.repo_id AND o.name = y.name AND occurrences > 1) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.caller <> e.callee AND e.callee = y.symbol_id)",
     "shared_names": "SELECT name, count(DISTINCT repo_id) AS repos, count(DISTINCT symbol_id) AS symbols FROM symbols WHERE name IS NOT NULL GROUP BY 1 HAVING count(DISTINCT repo_id) > 1",
     "replace_first": f"WITH {_T}, p AS (SELECT file_id, string_split(text, 'TODO') AS s FROM texts) SELECT file_id, len(s) - 1 AS available, sha256(array_to_string(s[1:3], 'DONE') || CASE WHEN len(s) > 3 THEN 'TODO' || array_to_string(s[4:], 'TODO') ELSE '' END) AS hash FROM p WHERE len(s) > 1",
     "change_modes": r"WITH p AS (SELECT DISTINCT changeset_id, repo_id, path FROM (SELECT changeset_id, repo_id, unnest(paths) AS path FROM changesets) WHERE path IS NOT NULL), n AS (SELECT changeset_id, count(*) AS paths, count(*) FILTER (EXISTS (SELECT 1 FROM parse_results r WHERE r.repo_id = p.repo_id AND r.relpath = p.path)) AS known FROM p GROUP BY 1) "

@@ -80,3 +80,43 @@ def snapshot(df: DataFrame, path: str, scan_id: str) -> None:
     if not scan_id or len(scan_id) > 128 or not all(c.isalnum() or c in "._-" for c in scan_id):
         raise ValueError("a scan id has 1 to 128 letters, digits, dots, lines and underscores")
     df.withColumn("scan_id", F.lit(scan_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path)
+
+
+def scan_manifest(spark: SparkSession, path: str, scan_id: str, state: str, at: str) -> None:
+    """Append that a scan started or completed."""
+    if state not in ("started", "completed"):
+        raise ValueError("a scan is started or completed")
+    spark.createDataFrame([(scan_id, state, at)], "scan_id string, state string, at string").coalesce(1).write.mode("append").json(path)
+
+
+def suppress(rules: DataFrame, rule: dict[str, str | None], days: int, now: str) -> DataFrame:
+    """The suppression rules with one more that ends so many days from now."""
+    until = F.date_format(F.lit(now).cast("timestamp") + F.expr(f"interval {int(days)} days"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    one = rules.sparkSession.range(1).select(*[F.lit(rule.get(c)).alias(c) for c in ("finding_id", "category", "path_prefix", "reason")], until.alias("until"))
+    return rules.unionByName(one)
+
+
+def unsuppress(rules: DataFrame, **keys: str | None) -> DataFrame:
+    """The rules without those that meet any of the keys given; keys that are NULL or empty meet none."""
+    met = F.lit(False)
+    for k, v in keys.items():
+        if v:
+            met = met | F.coalesce(F.col(k) == v, F.lit(False))
+    return rules.where(~met)
+
+
+def clear(df: DataFrame, path: str) -> None:
+    """Leave an empty table of the same columns in a table's place."""
+    df.limit(0).write.mode("overwrite").parquet(path)
+
+
+def lookup_symbol(spark: SparkSession, path: str, symbol_id: str, hashes: dict[str, str]) -> DataFrame:
+    """One symbol by its id: the path before ``::`` gives the shard's hash, of which only the partition is read."""
+    hash_ = hashes.get(symbol_id.split("::", 1)[0])
+    shard = read_shard(spark, path, hash_ or "0" * 64)
+    return shard.where(F.col("symbol_id") == symbol_id)
+
+
+def missing_shards(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """Hashes that a manifest names and no shard has; a manifest counts only if there are none."""
+    return wanted.select("hash").distinct().join(stored.select("hash"), "hash", "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import scalars as S
+
 FINDING = "finding_id:string,severity:string,category:string,description:string,status:string,found_at:string,evidence:struct<file:string,line:int,category_detail:string>"
 FILE_STATE = "struct<content_hash:string,last_crawl_hash:string,last_crawled_at:string,last_result:string,next_eligible_at:string>"
 
@@ -49,8 +51,7 @@ def audit_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     deps = F.from_json("value", "struct<dependencies:array<struct<name:string,version:string,vulns:array<struct<id:string,description:string>>>>>")["dependencies"]
     v = raw.select(F.explode(deps).alias("d")).select("d.name", "d.version", F.explode("d.vulns").alias("v")).select("name", "version", "v.id", "v.description")
-    low = F.lower(F.coalesce("description", F.lit("")))
-    return v.withColumn("severity", F.when(low.rlike("critical|remote code"), "critical").when(low.rlike("high|injection"), "high").when(low.rlike("moderate|medium|denial"), "medium").otherwise("low"))
+    return v.withColumn("severity", S.told_severity(F.col("description")))
 
 
 def npm_audit_json(spark: SparkSession, path: str) -> DataFrame:
@@ -58,8 +59,9 @@ def npm_audit_json(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     doc = F.from_json("value", "struct<advisories:map<string,struct<module_name:string,severity:string,title:string>>,vulnerabilities:map<string,struct<name:string,severity:string>>>")
     raw = raw.select(doc["advisories"].alias("v1"), doc["vulnerabilities"].alias("v2"))
-    one = raw.select(F.explode("v1").alias("id", "a")).select("id", F.col("a.module_name").alias("name"), "a.severity")
-    two = raw.where("v1 is null or size(v1) = 0").select(F.explode("v2").alias("id", "a")).select("id", F.coalesce("a.name", "id").alias("name"), "a.severity")
+    level = lambda c: F.coalesce(S.lookup({"critical": "critical", "high": "high", "moderate": "medium", "low": "low"}, c), F.lit("medium"))
+    one = raw.select(F.explode("v1").alias("id", "a")).select("id", F.col("a.module_name").alias("name"), level(F.col("a.severity")).alias("severity"))
+    two = raw.where("v1 is null or size(v1) = 0").select(F.explode("v2").alias("id", "a")).select("id", F.coalesce("a.name", "id").alias("name"), level(F.col("a.severity")).alias("severity"))
     return one.unionByName(two)
 
 
@@ -86,3 +88,67 @@ def json_array(c: Column) -> Column:
     """The JSON array in a text: without code fences, or else from its first [ to its last ]."""
     bare = F.regexp_replace(c, r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", "")
     return F.when(F.trim(bare).startswith("["), F.trim(bare)).otherwise(F.nullif(F.regexp_extract(c, r"(?s)(\[.*\])", 1), F.lit("")))
+
+
+def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
+    """The first of several places that is there: where an older layout may still be in use."""
+    for c in candidates:
+        at = spark._jvm.org.apache.hadoop.fs.Path(c)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return c
+    return None
+
+
+def policies(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Per category its policy: defaults (category, enabled, mode, min_confidence, max_findings) under overrides of the
+    same names as texts. An override that is not of its column's type, or whose category is unknown, does not count; of
+    several for a category the greatest value holds."""
+    o = overrides.select(F.col("category"), F.col("enabled").try_cast("boolean").alias("e"), F.col("mode").alias("m"), F.col("min_confidence").try_cast("double").alias("c"), F.col("max_findings").try_cast("int").alias("f"))
+    o = o.groupBy("category").agg(*[F.max(x).alias(x) for x in "emcf"])
+    j = defaults.join(o, "category", "left")
+    mode = F.when(F.col("m").isin("autofix", "issue-only", "confirm", "disabled"), F.col("m"))
+    return j.select("category", F.coalesce("e", "enabled").alias("enabled"), F.coalesce(mode, F.col("mode")).alias("mode"), F.coalesce(F.when(F.col("c").between(0, 1), F.col("c")), F.col("min_confidence")).alias("min_confidence"),
+        F.coalesce(F.when(F.col("f") > 0, F.col("f")), F.col("max_findings")).alias("max_findings"))
+
+
+def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, document) of JSON files under a glob: task retrospectives, templates, value tables, benchmark tasks. Files
+    that are no JSON object of the schema give no row."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("document"), F.trim("value").alias("v"))
+    return raw.where(F.col("document").isNotNull() & F.try_parse_json("v").isNotNull() & F.col("v").startswith("{")).select("path", "document.*")
+
+
+CLUSTER = "cluster_id:string,canonical_fingerprint:string,member_fingerprints:array<string>,simhash_signature:string,embedding_centroid:array<double>,first_seen:string,last_seen:string,occurrence_count:int"
+
+
+def clusters_json(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """Clusters of a document {"schema_version", "clusters": [...]}; another version gives no rows, and so does an entry
+    that lacks a field. Signatures are numbers, or texts of hexadecimal digits."""
+    raw = spark.read.text(path, wholetext=True)
+    doc = F.from_json("value", f"struct<schema_version:string,clusters:array<struct<{CLUSTER}>>>")
+    c = raw.select(doc.alias("d")).where(F.col("d.schema_version") == version).select(F.explode("d.clusters").alias("c")).select("c.*")
+    quoted = F.col("simhash_signature").rlike("^(0x)?[0-9a-fA-F]{16}$")
+    whole = F.when(quoted, F.conv(F.regexp_replace("simhash_signature", "^0x", ""), 16, -10)).otherwise(F.col("simhash_signature")).try_cast("decimal(20,0)")
+    signed_ = F.when(whole > 2**63 - 1, whole - F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(whole).cast("long")
+    need = ["cluster_id", "canonical_fingerprint", "member_fingerprints", "first_seen", "last_seen", "occurrence_count"]
+    return c.withColumn("simhash_signature", signed_).dropna(subset=[*need, "simhash_signature"])
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, enabled) of a registry {"repos": [...]} or [...]; rows without a path are dropped."""
+    raw = spark.read.text(path, wholetext=True)
+    row = "struct<path:string,name:string,enabled:boolean>"
+    array = F.trim("value").startswith("[")
+    rows = F.when(array, F.from_json("value", f"array<{row}>")).otherwise(F.from_json("value", f"struct<repos:array<{row}>>")["repos"])
+    return raw.select(F.explode(rows).alias("r")).select("r.*").where("path is not null and path <> ''")
+
+
+def outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """(number, state, merged_at, created_at, title) of a feed of pull requests or issues, one JSON object a line."""
+    raw = spark.read.schema("number long, state string, mergedAt string, createdAt string, title string").json(path)
+    return raw.where("number is not null").select("number", F.lower("state").alias("state"), parsed_time(F.col("mergedAt")).alias("merged_at"), parsed_time(F.col("createdAt")).alias("created_at"), "title")
+
+
+def listing(files: DataFrame, most: int = 200, blocked: tuple[str, ...] = (".git",)) -> DataFrame:
+    """The first paths in order, without those of blocked segments."""
+    return files.where(S.inside(F.col("path"), blocked)).select("path").distinct().orderBy("path").limit(most)

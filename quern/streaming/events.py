@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quern.operators.graph import shared_folder
+
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as a stream of files."""
@@ -18,16 +20,21 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is there (availableNow) and give the rows it put out.
+    """Run a stream over all that is there (availableNow) and give the rows it put out, read back from files.
 
-    Rows go to a table in memory: for bounded results only. ``sink`` writes files instead.
+    Files and state lie in the shared folder. In the mode complete only the last batch counts; a batch that is run again
+    replaces its own files.
     """
-    name = f"quern_{uuid4().hex}"
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        w = w.option("checkpointLocation", checkpoint)
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/" + ("now" if mode == "complete" else f"batch={number}"))
+
+    w = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{at}/checkpoint")
     w.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/rows")
 
 
 def sink(stream: DataFrame, path: str, checkpoint: str, also: Callable[[DataFrame, int], None] | None = None):
@@ -87,3 +94,23 @@ def running_clusters(stream: DataFrame, key: str, at: str = "ts") -> DataFrame:
 def unique_events(stream: DataFrame) -> DataFrame:
     """Each event id once, over a watermark of 30 days."""
     return stream.withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["event_id"])
+
+
+def followed(stream: DataFrame, other: DataFrame, hours: int = 6) -> DataFrame:
+    """(user_id, first, later, gap_us): pairs of events of one user and different streams, the second within some hours
+    of the first. Both sides are kept in state until no partner can come any more; rows over a day late are dropped."""
+    a = stream.withWatermark("ts", "1 day").select(F.col("user_id").alias("user_a"), F.col("event_id").alias("first"), F.col("ts").alias("ts_a"))
+    b = other.withWatermark("ts", "1 day").select(F.col("user_id").alias("user_b"), F.col("event_id").alias("later"), F.col("ts").alias("ts_b"))
+    near = F.expr(f"user_a = user_b and ts_b > ts_a and ts_b <= ts_a + interval {int(hours)} hours")
+    return a.join(b, near).select(F.col("user_a").alias("user_id"), "first", "later", (F.unix_micros("ts_b") - F.unix_micros("ts_a")).alias("gap_us"))
+
+
+def sweeps(stream: DataFrame, key: str, fresh: str) -> DataFrame:
+    """(key, day, mode): whether anything told a day to start afresh, which makes its work a full sweep."""
+    g = stream.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), key).agg(F.max(F.col(fresh).cast("int")).alias("f"))
+    return g.select(key, F.unix_seconds("window.start").alias("day"), F.when(F.col("f") == 1, "sweep").otherwise("bounded").alias("mode"))
+
+
+def kept(stream: DataFrame, days: int, now: str) -> DataFrame:
+    """The rows of a stream that have not expired: at most so many days old at a time given."""
+    return stream.where(F.col("ts") >= F.lit(now).cast("timestamp") - F.expr(f"interval {int(days)} days"))

@@ -11,6 +11,7 @@ from quern.functions.pysource import ADAPTERS
 from quern.operators import cascade, chunks, graph, joins, ranking, resolve, vectors
 from quern.plans import examples, text
 from quern.sources import sinks, state
+from quern.streaming import events
 
 
 def one(spark, col, **values):
@@ -187,6 +188,108 @@ def test_unused_imports_and_reexports(spark, tmp_path):
     assert {(x.file_id, x.names, x.unused) for x in text.unused_imports_by_file(spark, str(tmp_path)).collect()} == {(1, "os", 1), (3, "os", 1)}
 
 
+def test_rounding_is_pythons(spark):
+    r = random.Random(1)
+    xs = [2.675, 0.5, 1.5, 2.5, -0.5, -2.675, 0.125, 0.375, 1.0005, 1.0015, 2.0025, 1e17, 0.0, -1.0045, 5e-324, 4503599627370497.5] + [round(r.uniform(-999, 999), 4) for _ in range(3000)] + [r.randint(-9999, 9999) / 2000 for _ in range(2000)] + [r.random() for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for n in (0, 3, 4, 6):
+        got = [x.y for x in df.select(S.py_round(F.col("x"), n).alias("y")).collect()]
+        assert [(x, a) for x, a in zip(xs, got, strict=True) if a != round(x, n)] == []
+
+
+@pytest.mark.parametrize("text_", ["", "a", "a\n", "\n", "a\r\nb\rc", "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029", "a\n\n", "\r\n\r\n", "x\ty z", "\u2029"])
+def test_lines_are_those_of_splitlines(spark, text_):
+    assert one(spark, S.line_count(F.col("t")), t=text_) == len(text_.splitlines())
+
+
+def test_small_functions(spark):
+    import hashlib
+
+    get = lambda col: spark.range(1).select(col.alias("x")).first()[0]
+    lit = F.lit
+    assert get(S.contains_either(lit("Unused Import"), lit("import"))) and get(S.contains_either(lit("a"), lit("CAT"))) and not get(S.contains_either(lit(""), lit("x"))) and not get(S.contains_either(lit(None).cast("string"), lit("x")))
+    assert [get(S.bound_name(lit(x))) for x in ("a.b.c", "a", "")] == ["a", "a", ""]
+    assert [get(S.symbol_kind(lit(x).cast("string"))) for x in ("class", "method", "enum", None)] == ["class", "method", "function", "function"]
+    assert get(S.scan_id(F.to_timestamp(lit("2025-03-04 05:06:07")), lit("ABCDEF0123"))) == "20250304T050607Z-abcdef01"
+    names = lambda *n: F.array(*[lit(x) for x in n]) if n else F.expr("cast(array() as array<string>)")
+    none = lit(None).cast("string")
+    assert [get(S.test_command(names(*n), m)) for n, m in ((("setup.py", "package.json"), none), (("Cargo.toml",), none), (("Makefile",), lit("all:\ntest: all\n")), (("Makefile",), lit("tests:")), ((), none))] == ["npm test", "cargo test", "make test", None, None]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for sums in (b"s", None):
+        assert get(S.module_key(lit("/r/m"), lit(b"mod"), lit(sums).cast("binary"))) == sha(f"/r/m|{sha(b'mod')}|{sha(sums or b'')}".encode())
+    assert [get(S.told_severity(lit(x).cast("string"))) for x in ("Remote Code execution, high", "SQL injection", "Moderate leak", "odd", None)] == ["critical", "high", "medium", "low", "low"]
+    assert [get(S.change_quality(lit(a), lit(b), lit(c), lit(e), lit(g))) for a, b, c, e, g in ((0, 1, 3, 0, True), (40, 3, 0, 0, False), (4000, 99, 1, 1, False), (100, 1, 0, 0, True))] == [1.0, 0.8, 0.4, 0.78]
+    words = lambda s: F.split(lit(s), " ")
+    assert [get(S.allowed_command(words(x))) for x in ("python -m pytest -q", "pytest", "git log -1", "git push", "python -m pip", "rm")] == [True, True, True, False, False, False]
+    assert [get(S.inside(lit(x).cast("string"))) for x in ("a/b.py", "a/../b", "../x", "a/../../x", "/etc", "a/.git/x", "./a//b", None)] == [True, True, False, False, False, False, True, False]
+
+
+def test_readers_of_registries_and_clusters(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    files = {
+        "reg.json": json.dumps({"repos": [{"path": "/a", "name": "a", "enabled": True}, {"name": "lost"}, {"path": ""}]}), "list.json": json.dumps([{"path": "/b"}]), "bad.json": "{oops",
+        "c.json": json.dumps({"schema_version": "v1", "clusters": [
+            {"cluster_id": "c1", "canonical_fingerprint": "f", "member_fingerprints": ["f", "g"], "simhash_signature": "ffffffffffffffff", "embedding_centroid": [0.5], "first_seen": "a", "last_seen": "b", "occurrence_count": 2},
+            {"cluster_id": "c2", "canonical_fingerprint": "f", "member_fingerprints": ["f"], "simhash_signature": 7, "embedding_centroid": None, "first_seen": "a", "last_seen": "b", "occurrence_count": 1},
+            {"cluster_id": "c3"}, {"cluster_id": "c4", "canonical_fingerprint": "f", "member_fingerprints": ["f"], "simhash_signature": "zz", "first_seen": "a", "last_seen": "b", "occurrence_count": 1}]}),
+        "d1.json": json.dumps({"task_id": "t1", "repair_cycle_count": 3, "findings_by_category": {"a": 2}}), "d2.json": "[1]", "d3.json": "nothing",
+        "prs.jsonl": '{"number": 4, "state": "MERGED", "mergedAt": "2025-01-01T00:00:00Z", "createdAt": null, "title": "x"}\nnot json\n{"state": "open"}\n',
+    }
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    assert [(x.path, x.name) for x in state.registry(spark, f"{at}/reg.json").collect()] == [("/a", "a")] and state.registry(spark, f"{at}/list.json").first().path == "/b" and state.registry(spark, f"{at}/bad.json").collect() == []
+    got = state.clusters_json(spark, f"{at}/c.json", "v1").collect()
+    assert [(x.cluster_id, x.simhash_signature) for x in got] == [("c1", -1), ("c2", 7)] and state.clusters_json(spark, f"{at}/c.json", "v2").collect() == []
+    docs = state.json_documents(spark, f"{at}/d*.json", "task_id string, repair_cycle_count int, findings_by_category map<string,int>").collect()
+    assert [(x.task_id, x.findings_by_category) for x in docs] == [("t1", {"a": 2})] and docs[0].path.endswith("d1.json")
+    assert [(x.number, x.state, str(x.merged_at)) for x in state.outcomes(spark, f"{at}/prs.jsonl").collect()] == [(4, "merged", "2025-01-01 00:00:00")]
+    assert state.first_existing(spark, [f"{at}/gone", f"{at}/c.json", f"{at}/reg.json"]) == f"{at}/c.json" and state.first_existing(spark, []) is None
+    paths = spark.createDataFrame([("b",), ("a/.git/x",), ("a/x",), ("b",), ("../y",)], "path string")
+    assert [x.path for x in state.listing(paths, 2).collect()] == ["a/x", "b"]
+
+
+def test_suppressions_and_manifests(spark, tmp_path):
+    none = spark.createDataFrame([], "finding_id string, category string, path_prefix string, reason string, until string")
+    rules = sinks.suppress(sinks.suppress(none, {"finding_id": "f1", "reason": "known"}, 7, "2025-01-01"), {"category": "dead-code", "path_prefix": "lib/"}, 1, "2025-01-01")
+    assert [(x.finding_id, x.category, x.until) for x in rules.collect()] == [("f1", None, "2025-01-08T00:00:00Z"), (None, "dead-code", "2025-01-02T00:00:00Z")]
+    assert [x.finding_id for x in sinks.unsuppress(rules, category="dead-code", finding_id=None, path_prefix="").collect()] == ["f1"]
+    assert sinks.unsuppress(rules, finding_id="f1", path_prefix="lib/").collect() == [] and sinks.unsuppress(rules).count() == 2
+    sinks.scan_manifest(spark, f"{tmp_path}/scans", "s1", "started", "2025-01-01T00:00:00Z")
+    sinks.scan_manifest(spark, f"{tmp_path}/scans", "s1", "completed", "2025-01-01T00:01:00Z")
+    assert spark.read.json(f"{tmp_path}/scans").count() == 2
+    with pytest.raises(ValueError):
+        sinks.scan_manifest(spark, f"{tmp_path}/scans", "s1", "lost", "x")
+    rules.write.parquet(f"{tmp_path}/rules")
+    sinks.clear(spark.read.parquet(f"{tmp_path}/rules"), f"{tmp_path}/none")
+    assert spark.read.parquet(f"{tmp_path}/none").columns == rules.columns and spark.read.parquet(f"{tmp_path}/none").count() == 0
+    shards = spark.createDataFrame([("ab" * 32, "p.py::f"), ("ab" * 32, "p.py::g"), ("cd" * 32, "q.py::h")], "hash string, symbol_id string")
+    sinks.write_shards(shards, f"{tmp_path}/shards")
+    find = lambda i: [x.symbol_id for x in sinks.lookup_symbol(spark, f"{tmp_path}/shards", i, {"p.py": "ab" * 32}).collect()]
+    assert find("p.py::g") == ["p.py::g"] and find("p.py::x") == [] and find("q.py::h") == []
+    assert [x.hash for x in sinks.missing_shards(spark.createDataFrame([("ab" * 32,), ("ee" * 32,)], "hash string"), shards).collect()] == ["ee" * 32]
+
+
+def test_late_rows_are_dropped_and_streams_join(spark, tmp_path):
+    schema = "ts timestamp, event_type string, user_id long, event_id long, value double"
+
+    def put(n, rows):
+        spark.createDataFrame([(datetime(2025, 1, day, hour), t, u, e, 1.0) for day, hour, t, u, e in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+
+    read = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    put(0, [(1, 1, "a", 1, 1), (1, 3, "b", 1, 2), (9, 1, "a", 1, 3), (9, 2, "b", 1, 6)])
+    run = lambda s, name, mode: s.writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}-cp").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    run(events.daily_counts(read()), "days", "append")
+    joined = lambda: events.followed(read().where("event_type = 'a'"), read().where("event_type = 'b'"))
+    run(joined(), "pairs", "append")
+    put(1, [(1, 2, "a", 1, 4), (1, 4, "b", 1, 5), (20, 1, "c", 1, 7)])  # the first two are a week late
+    run(events.daily_counts(read()), "days", "append")
+    run(joined(), "pairs", "append")
+    days = {(x.day, x.event_type): x.events for x in spark.read.parquet(f"{tmp_path}/days").collect()}
+    first, ninth = int(datetime(2025, 1, 1).timestamp()), int(datetime(2025, 1, 9).timestamp())
+    assert days[(first, "a")] == 1 and days[(first, "b")] == 1 and days[(ninth, "a")] == 1 and days[(ninth, "b")] == 1
+    assert {(x.first, x.later) for x in spark.read.parquet(f"{tmp_path}/pairs").collect()} == {(1, 2), (3, 6)}
+
+
 def test_hashes_without_builtins(spark):
     import hashlib
 
@@ -253,7 +356,6 @@ def test_sinks(spark, tmp_path):
 
 
 def test_stream_to_files_survives_a_restart(spark, data, tmp_path):
-    from quern.streaming import events
 
     for _ in range(2):
         events.sink(events.unique_events(events.replay(spark, data)), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
