@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed: language names by extension.
+#: Fixed: language names by extension; these extensions are those of source files.
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".ini": "ini",
-    ".env": "env", ".sh": "shell", ".md": "markdown", ".toml": "toml", ".java": "java", ".rs": "rust", ".rb": "ruby",
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "typescript", ".jsx": "javascript", ".go": "go", ".rs": "rust", ".rb": "ruby", ".java": "java", ".kt": "kotlin", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp",
+    ".cs": "csharp", ".swift": "swift", ".dart": "dart", ".lua": "lua", ".php": "php", ".sh": "shell", ".bash": "shell", ".zsh": "shell",
 }
 #: Fixed: ranks of severities.
 SEVERITIES = {"low": 1, "medium": 4, "high": 8, "critical": 12}
@@ -49,8 +49,9 @@ def stem(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    low = F.lower(path)
-    return low.rlike(r"(^|/)tests?/") | F.lower(base_name(path)).rlike(r"^test_|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$")
+    """Whether a folder of tests is on the path, or the file's name is that of a test."""
+    low, name = F.lower(path), F.lower(base_name(path))
+    return low.rlike("(^|/)(tests?|__tests__|spec)(/|$)") | name.rlike(r"^test_|\.test|\.spec") | F.lower(stem(path)).rlike("_(test|spec)$")
 
 
 def is_hidden(path: Column) -> Column:
@@ -59,7 +60,13 @@ def is_hidden(path: Column) -> Column:
 
 
 def is_generated(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.g\.|\.gen\.|\.generated\.|\.min\.|_pb2\.|\.pb\.")
+    """Whether a path has one of six marks of generated files."""
+    return path.rlike(r"\.generated\.|\.g\.|\.pb\.|node_modules/|dist/|build/")
+
+
+def is_source(path: Column) -> Column:
+    """Whether the extension is that of a source file."""
+    return extension(path).isin(*LANGUAGES)
 
 
 def ttl_days(path: Column) -> Column:

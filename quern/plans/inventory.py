@@ -16,7 +16,7 @@ CUTOFF = "2025-06-01"
 def file_inventory(spark: SparkSession, d: str) -> DataFrame:
     f = texts(spark, d)
     p = F.col("relpath")
-    return f.where(~S.is_hidden(p) & ~S.is_generated(p)).select(
+    return f.where(S.is_source(p) & ~S.is_hidden(p) & ~S.is_generated(p)).select(
         "file_id", "repo_id", "relpath", S.extension(p).alias("extension"), S.language(p).alias("language"), S.is_test(p).alias("is_test"), F.length("source_bytes").alias("bytes"),
         S.line_count(F.col("text")).alias("line_count"), F.substring(F.sha2("source_bytes", 256), 1, 16).alias("content_hash"), (F.size(F.split(p, "/")) - 1).alias("depth"),
     )
@@ -167,7 +167,10 @@ QUERIES = {
 
 _EXT = r"lower(regexp_extract({p}, '(\.[^./\\]+)$', 1))"
 _BASE = r"regexp_extract({p}, '([^/]*)$', 1)"
-_TEST = r"(regexp_matches(lower({p}), '(^|/)tests?/') OR regexp_matches(lower(regexp_extract({p}, '([^/]*)$', 1)), '^test_|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$'))"
+_TEST = (
+    r"(regexp_matches(lower({p}), '(^|/)(tests?|__tests__|spec)(/|$)') OR regexp_matches(lower(regexp_extract({p}, '([^/]*)$', 1)), '^test_|\.test|\.spec') "
+    r"OR regexp_matches(lower(regexp_replace(regexp_extract({p}, '([^/]*)$', 1), '(.)\.[^.]*$', '\1')), '_(test|spec)$'))"
+)
 _PARENT = r"(CASE WHEN regexp_extract({p}, '^(.*)/[^/]*$', 1) = '' THEN '.' ELSE regexp_extract({p}, '^(.*)/[^/]*$', 1) END)"
 _TEXTS = "texts AS (SELECT *, array_to_string(lines, chr(10)) AS text FROM parse_results WHERE lines IS NOT NULL)"
 _ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -196,7 +199,7 @@ SQL = {
     k: _sql(v)
     for k, v in {
         "file_inventory": rf"WITH @TEXTS SELECT file_id, repo_id, relpath, @EXT AS extension, {_CASE_LANG} AS language, @TEST AS is_test, octet_length(source_bytes) AS bytes, @COUNT AS line_count, substr(sha256(source_bytes), 1, 16) AS content_hash, "
-        r"len(string_split(relpath, '/')) - 1 AS depth FROM texts WHERE NOT regexp_matches(relpath, '(^|/)\.[^/]') AND NOT regexp_matches(lower(relpath), '\.g\.|\.gen\.|\.generated\.|\.min\.|_pb2\.|\.pb\.')",
+        r"len(string_split(relpath, '/')) - 1 AS depth FROM texts WHERE NOT regexp_matches(relpath, '(^|/)\.[^/]') AND NOT regexp_matches(relpath, '\.generated\.|\.g\.|\.pb\.|node_modules/|dist/|build/') AND @EXT IN (" + ", ".join(f"'{k}'" for k in S.LANGUAGES) + ")",
         "content_duplicates": "SELECT sha256(source_bytes) AS hash, count(*) AS files, count(DISTINCT repo_id) AS repos, min(file_id) AS first_file FROM parse_results WHERE source_bytes IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
         "line_chunks": _CHUNKS + " SELECT file_id, chunk_no, first_line, last_line FROM c",
         "chunk_sampling": _CHUNKS + ", m AS (SELECT file_id FROM c GROUP BY 1 HAVING count(*) > 6), t AS (SELECT c.*, f.repo_id, f.relpath, f.last_seen_at, array_to_string(f.lines[first_line:last_line], chr(10)) AS x FROM c JOIN f USING (file_id)), "

@@ -77,11 +77,25 @@ def markdown_rows(texts: DataFrame) -> DataFrame:
     return rows.select("id", "section", "pos", cells.alias("cells"))
 
 
-def source_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, bytes, hash) of the files of a tree, without build and hidden folders."""
+#: Fixed: folders that hold no source of a repository's own.
+PRUNED = (".git", "__pycache__", ".venv", "venv", "node_modules", "build", "dist")
+
+
+def source_files(spark: SparkSession, path: str, glob: str = "*", tracked: DataFrame | None = None) -> DataFrame:
+    """(path, bytes, hash) of the source files of a tree, without pruned and hidden folders and generated files.
+
+    With ``tracked`` (path), the files that version control lists, only these count and folders need not be pruned.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    pruned = raw.where(~F.col("path").rlike(r"/(?:\.[^/]+|node_modules|__pycache__|build|dist|venv|target)/"))
-    return pruned.select("path", F.col("content").alias("bytes"), F.sha2("content", 256).alias("hash"))
+    rel = F.regexp_replace("path", "^file:/+|^[a-z0-9]+://[^/]*/", "/")
+    root = rel.substr(F.lit(len(path.removeprefix("file://").rstrip("/")) + 2), F.lit(1 << 20)) if path.startswith(("file://", "/")) else rel
+    f = raw.select(root.alias("rel"), F.col("path"), "content")
+    if tracked is not None:
+        f = f.join(tracked.select(F.col("path").alias("rel")).distinct(), "rel", "left_semi")
+    else:
+        f = f.where(~F.col("rel").rlike("(^|/)(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + r"|\.[^/]+)/"))
+    f = f.where(S.is_source(F.col("rel")) & ~S.is_hidden(F.col("rel")) & ~S.is_generated(F.col("rel")))
+    return f.select("path", F.col("content").alias("bytes"), F.sha2("content", 256).alias("hash"))
 
 
 def json_array(c: Column) -> Column:
