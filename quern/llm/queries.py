@@ -90,6 +90,10 @@ def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.flagged(table(spark, sf_dir, "documents"))
 
 
+def p9_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.crawl_shapes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 

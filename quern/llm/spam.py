@@ -1,12 +1,12 @@
 """Problem 9: pages of repeated keywords, links or tags, told by the shapes of their lines.
 
-Each line is reduced to a shape: a bucket of its number of words, how its words are capitalised, its separators, its
-links and how it ends. Shapes fall into sentences and what is none (links, tags, keyword lists, title lines); logs,
-tables and code are taken for sentences, as are lists of them. A page is flagged if lines of non-sentence shapes hold
-more than half of its words and few shapes hold nearly all of these.
+Each line is reduced to a shape: buckets of its number of words and of function words among them, how its words are
+capitalised and repeated, its separators, links and tags, and how it ends. The shape alone decides what a line is: a
+sentence, or links, tags, keywords or a title. Logs, tables and code are taken for sentences, as are lists of them. A
+page is flagged if lines of non-sentence shapes hold more than half of its words and few shapes hold most of these.
 
 What is no sentence has hardly any of the words that sentences need in the languages at hand, and has instead
-separators after every few words or the same words over and over.
+separators after every few words or the same words over and over. ``crawl_shapes`` groups the lines of a whole crawl.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,17 +42,41 @@ CODE = re.compile(r"^(?: {4}|\t)|[{};]\s*$|^\s*(?:def|class|return|import|from|f
 SHARE = 0.5
 
 
-def _bucket(n: int) -> int:
-    return n if n < 4 else 4 + (n.bit_length() - 2)
-
-
-def shape(line: str) -> tuple[str, str, int, int]:
-    """(kind, shape, words, words that are no sentence) of a line; words are blank-separated."""
+class Shape(NamedTuple):
+    """What is left of a line: everything that decides what kind of line it is."""
+
+    words: int  # own words besides links and tags: 0 under 4, 1 up to 5, 2 for 6, 3 up to 9, 4 up to 12, 5 beyond
+    bound: int  # function words: 0 none, 1 under one in eight, 2 up to one in four, 3 more
+    capitals: str  # u all words, m most of several, l else
+    separated: bool  # a separator after every five words or more often
+    repeated: bool  # a third of the words or more repeat others
+    links: int  # 0 none, 1 one or two, 2 more
+    linked: bool  # more words in links than beside them
+    tags: int  # 0 none, 1 one, 2 more
+    site: bool  # ends in the name of a site
+    end: str  # . ! ? : or nothing
+
+
+@cache
+def kind_of(x: Shape) -> str:
+    """The kind of a shape; ``text`` is what may be a sentence."""
+    flat = x.words == 0 or x.bound <= 1 and (x.separated or x.words >= 4 and x.repeated)
+    if x.site and x.words <= 4 and x.bound <= 2:
+        return "title"
+    if x.links and (flat or x.bound == 0 and x.words <= 2):
+        return "links"
+    if x.tags == 2 and flat:
+        return "tags"
+    if x.words >= 2 and flat:
+        return "keywords"
+    if x.links == 2 and x.linked:
+        return "linked text"
+    return "text"
+
+
+def shape(line: str) -> tuple[Shape, int, int]:
+    """(shape, blank-separated words, those of them in links) of a line."""
     total = len(line.split())
-    if not total:
-        return "blank", "", 0, 0
-    if LOG.match(line) or TABLE.match(line):
-        return "exempt", "exempt", total, 0
     links = [0, 0]
 
     def drop(m: re.Match) -> str:
@@ -66,48 +92,43 @@ def shape(line: str) -> tuple[str, str, int, int]:
         rest = TAG.sub(" ", rest)
     body = WORD.findall(rest)
     n = len(body)
-    aside = total - links[1] - tags
     low = [w.lower() for w in body]
     stops = sum(w in FUNCTION_WORDS for w in low)
-    seps = len(SEPARATOR.findall(rest))
     caps = sum(w[0].isupper() for w in body)
-    form = "u" if n and caps == n else "m" if caps > 1 and caps * 2 > n else "l"
     end = line.rstrip()[-1:]
-    code = f"{_bucket(total)}/{form}/{min(seps, 1) if n < 6 else min(9, seps * 10 // n)}/{min(links[0], 3)}/{min(tags, 3)}/{end if end in '.!?:' else ''}"
-    if TITLE.search(line) and n <= 12 and not stops * 4 > n:
-        return "title", "title:" + code, total, total
-    flat = n < 4 or stops * 8 < n and (seps * 5 >= n or n >= 10 and len(set(low)) * 3 <= n * 2)
-    if links[0] and (flat or not stops and n <= 6):
-        return "links", "links:" + code, total, total
-    if tags >= 2 and flat:
-        return "tags", "tags:" + code, total, total
-    if n >= 6 and flat:
-        return "keywords", "keywords:" + code, total, total
-    if links[0] >= 3 and links[1] > aside:
-        return "links", "links:" + code, total, links[1]
-    return "text", code, total, 0
+    return Shape(
+        0 if n < 4 else 1 if n < 6 else 2 if n == 6 else 3 if n < 10 else 4 if n <= 12 else 5, 0 if not stops else 1 if stops * 8 < n else 2 if stops * 4 <= n else 3, "u" if n and caps == n else "m" if caps > 1 and caps * 2 > n else "l",
+        len(SEPARATOR.findall(rest)) * 5 >= n, len(set(low)) * 3 <= n * 2, min((links[0] + 2) // 3 if links[0] < 3 else 2, 2), links[1] > total - links[1] - tags, min(tags, 2), bool(TITLE.search(line)), end if end in ".!?:" else "",
+    ), total, links[1]
 
 
-def page(text: str) -> tuple[int, int, int, float, str | None]:
-    """(words, words of non-sentence lines, shapes of these, share of the three largest shapes, main kind)."""
-    words = bad = 0
-    shapes: Counter[str] = Counter()
-    kinds: Counter[str] = Counter()
+def lines(text: str) -> Iterator[tuple[Shape | None, int, int]]:
+    """``shape`` of each line with words; logs, tables, code and what is fenced as such have none."""
     fence = False
     for line in text.replace("\r", "\n").split("\n"):
+        n = len(line.split())
         if line.lstrip().startswith(("```", "~~~")):
             fence = not fence
-            words += len(line.split())
-            continue
-        if fence or CODE.search(line) and not LINK.search(line) and line.count(";") < 3:
-            words += len(line.split())
-            continue
-        kind, code, n, b = shape(line)
+            yield None, n, 0
+        elif fence or CODE.search(line) and not LINK.search(line) and line.count(";") < 3 or LOG.match(line) or TABLE.match(line):
+            yield None, n, 0
+        elif n:
+            yield shape(line)
+
+
+def page(text: str) -> tuple[int, int, int, float, str | None]:
+    """(words, words of non-sentence shapes, number of these shapes, share of their eight commonest, main kind)."""
+    words = bad = 0
+    shapes: Counter[Shape] = Counter()
+    kinds: Counter[str] = Counter()
+    for x, n, linked in lines(text):
         words += n
-        if b:
+        kind = kind_of(x) if x else "text"
+        if kind != "text":
+            b = linked if kind == "linked text" else n
             bad += b
-            shapes[code] += b
-            kinds[kind] += b
+            shapes[x] += b
+            kinds[kind.split()[0] if kind != "linked text" else "links"] += b
     few = sum(v for _, v in shapes.most_common(8)) / bad if bad else 0.0
     return words, bad, len(shapes), few, kinds.most_common(1)[0][0] if kinds else None
 
@@ -127,3 +148,29 @@ def page_shapes(documents: DataFrame) -> DataFrame:
 def flagged(documents: DataFrame, share: float = SHARE, few: float = 0.5) -> DataFrame:
     """The rows of ``page_shapes`` whose words are mostly in few non-sentence shapes."""
     return page_shapes(documents).where((F.col("bad_words") > F.col("words") * share) & (F.col("few") >= few))
+
+
+def crawl_shapes(documents: DataFrame) -> DataFrame:
+    """(shape, kind, lines, words, pages) of all lines of a crawl, grouped by shape; a shape is written as its fields.
+
+    Lines are counted per batch before they are sent, so that what is sent follows the number of shapes.
+    """
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, words, pages = Counter(), Counter(), Counter()
+            for text in batch.column(0).to_pylist():
+                seen = set()
+                for x, k, _ in lines(text):
+                    if x:
+                        n[x] += 1
+                        words[x] += k
+                        seen.add(x)
+                pages.update(seen)
+            every = list(n)
+            cols = [["/".join(str(int(v) if isinstance(v, bool) else v) for v in x) for x in every], [kind_of(x) for x in every], *([c[x] for x in every] for c in (n, words, pages))]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=["shape", "kind", "lines", "words", "pages"])
+
+    own = documents.where("text is not null").select("text").mapInArrow(reduce, "shape string, kind string, lines long, words long, pages long")
+    return own.groupBy("shape", "kind").agg(F.sum("lines").alias("lines"), F.sum("words").alias("words"), F.sum("pages").alias("pages"))

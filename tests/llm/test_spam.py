@@ -26,3 +26,13 @@ def test_tables(spark):
     got = [x.doc_id for x in spam.flagged(spark.createDataFrame(rows, schema)).collect()]
     assert sorted(got, key=str) == [1, 1, None]
     assert spam.flagged(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_shapes_alone_decide_and_group(spark):
+    texts = [PROSE, "cheap linter, " * 30, "#a #b #c #d", "cheap linter, " * 30 + "\n" + PROSE, "", None, "| a | b |"]
+    got = spam.crawl_shapes(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, shape string")).collect()
+    every = [(x, n) for t in texts if t for x, n, _ in spam.lines(t) if x]
+    assert sum(x.lines for x in got) == len(every) and sum(x.words for x in got) == sum(n for _, n in every)
+    assert {x.kind: x.pages for x in got} == {"text": 2, "keywords": 2, "tags": 1}
+    assert len({spam.kind_of(x) for x, _ in every}) == 3
+    assert spam.crawl_shapes(spark.createDataFrame([], "text string")).collect() == []
