@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,16 +92,25 @@ def simhash(tokens: Column, weigh: int = 64) -> Column:
     return F.aggregate(F.zip_with(sums, bits, lambda s, b: F.when(s > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.struct(F.lit(0).alias("b"), F.expr("0L").alias("v")), lambda a, x: F.struct((a["b"] + 1).alias("b"), (a["v"].bitwiseOR(F.call_function("shiftleft", x, a["b"]))).alias("v")), lambda a: a["v"])
 
 
-def hamming_pairs(signatures: DataFrame, most: int = 3) -> DataFrame:
+def hamming_pairs(signatures: DataFrame, most: int = 3, alike: int = 2) -> DataFrame:
     """(a, b, distance) of distinct signatures (column sig) at most ``most`` bits apart, a < b.
 
-    With most + 1 bands two such signatures agree in one band at least (pigeonhole), so an equi-join on bands is exact.
+    With most + alike bands two such signatures agree in ``alike`` bands at least (pigeonhole), so that an equi-join on
+    every choice of so many bands is exact: ten keys of 25 bits each for three bits. More bands that must agree give
+    more and longer keys, for more signatures. A pair that agrees in several choices is told by the first of them alone,
+    so that no pair need be sent again to be made distinct.
     """
-    bands = most + 1
-    width = 64 // bands
+    bands = most + alike
+    edges = [64 * k // bands for k in range(bands + 1)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(edges)]
+    choices = list(itertools.combinations(range(bands), alike))
+    long = lambda x: F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long")
     sigs = signatures.select("sig").where("sig is not null").distinct()
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("sig", k * width).bitwiseAND(F.lit((1 << width) - 1 if k < bands - 1 else (1 << (64 - width * k)) - 1)).alias("x")) for k in range(bands)]))
-    p = sigs.select("sig", parts.alias("p")).select("sig", "p.k", "p.x")
+    keys = [F.struct(F.lit(k).alias("k"), F.col("sig").bitwiseAND(long(sum(masks[i] for i in c))).alias("x")) for k, c in enumerate(choices)]
+    p = sigs.select("sig", F.explode(F.array(*keys)).alias("p")).select("sig", "p.k", "p.x")
     a, b = p.select(F.col("sig").alias("a"), "k", "x"), p.select(F.col("sig").alias("b"), "k", "x")
-    d = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return a.join(b, ["k", "x"]).where(F.col("a") < F.col("b")).where(d <= most).select("a", "b", d.alias("distance")).distinct()
+    unlike = F.col("a").bitwiseXOR(F.col("b"))
+    same = [unlike.bitwiseAND(long(m)) == 0 for m in masks]
+    first = F.coalesce(*[F.when(reduce(lambda x, y: x & y, [same[i] for i in c]), F.lit(k)) for k, c in enumerate(choices)])
+    d = F.bit_count(unlike)
+    return a.join(b, ["k", "x"]).where(F.col("a") < F.col("b")).where(d <= most).where(first == F.col("k")).select("a", "b", d.alias("distance"))
