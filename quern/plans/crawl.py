@@ -53,7 +53,7 @@ def _hits(text: Column, no: int, most: int, pattern: str) -> Column:
 def text_signals(spark: SparkSession, d: str) -> DataFrame:
     """Rows (file_id, no, hit, rule, severity, confidence, line) of each file's text: of secrets and data boundaries one a
     pattern, of risky calls three a file in the order of patterns and places; large files and files full of TODO and
-    FIXME have one without a line."""
+    FIXME have one, of line 0."""
     f = texts(spark, d).select("file_id", "text")
     none = F.expr("cast(array() as array<struct<no:int,hit:int,line:int>>)")
     found = f.select("file_id", F.explode(F.concat(*[F.coalesce(_hits(F.col("text"), k, most, p), none) for k, (_, _, _, most, p) in enumerate(SIGNALS)])).alias("h")).select("file_id", "h.*")
@@ -63,7 +63,7 @@ def text_signals(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("rn", rn).where((F.col("rule") != "risky_api") | (F.col("rn") <= RISKY)).drop("rn")
     whole = f.select("file_id", S.line_count(F.col("text")).alias("n"), (F.regexp_count("text", F.lit("TODO")) + F.regexp_count("text", F.lit("FIXME"))).alias("marks"))
     one = lambda when, no, rule, severity, confidence: whole.where(when).select(
-        "file_id", F.lit(no).alias("no"), F.lit(1).alias("hit"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(None).cast("int").alias("line")
+        "file_id", F.lit(no).alias("no"), F.lit(1).alias("hit"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(0).alias("line")
     )
     return rows.unionByName(one(F.col("n") >= LARGE, 11, "large_file", "medium", 0.58)).unionByName(one(F.col("marks") >= MARKS, 12, "deferred_work", "low", 0.5))
 
@@ -114,8 +114,8 @@ def _inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def crawl_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """``_inventory`` with the time of the last review in microseconds."""
-    return _inventory(spark, d).withColumn("reviewed_us", F.unix_micros("reviewed_at")).drop("reviewed_at")
+    """``_inventory`` with the time of the last review in microseconds, 0 for never."""
+    return _inventory(spark, d).withColumn("reviewed_us", F.coalesce(F.unix_micros("reviewed_at"), F.lit(0))).drop("reviewed_at")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -187,8 +187,8 @@ _HIT = " UNION ALL ".join(
 )
 _SIG = (
     f"WITH @TEXTS, hits AS ({_HIT}), ranked AS (SELECT *, row_number() OVER (PARTITION BY file_id, rule ORDER BY no, hit) AS rn FROM hits), sig AS (SELECT file_id, no, hit, rule, severity, confidence, line FROM ranked WHERE rule <> 'risky_api' OR rn <= 3 "
-    "UNION ALL SELECT file_id, 11, 1, 'large_file', 'medium', 0.58, NULL FROM texts WHERE @COUNT >= 250 "
-    "UNION ALL SELECT file_id, 12, 1, 'deferred_work', 'low', 0.5, NULL FROM texts WHERE (length(text) - length(replace(text, 'TODO', ''))) // 4 + (length(text) - length(replace(text, 'FIXME', ''))) // 5 >= 3)"
+    "UNION ALL SELECT file_id, 11, 1, 'large_file', 'medium', 0.58, 0 FROM texts WHERE @COUNT >= 250 "
+    "UNION ALL SELECT file_id, 12, 1, 'deferred_work', 'low', 0.5, 0 FROM texts WHERE (length(text) - length(replace(text, 'TODO', ''))) // 4 + (length(text) - length(replace(text, 'FIXME', ''))) // 5 >= 3)"
 )
 _SUM = ", w AS (SELECT *, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 4 WHEN 'high' THEN 8 ELSE 12 END AS rank FROM sig), summary AS (SELECT file_id, count(*) AS signals, arg_max(severity, rank) AS max_severity, sum(rank)::bigint AS risk, max(confidence) AS confidence FROM w GROUP BY 1)"
 _TOUCH = "(SELECT repo_id, relpath, count(*) AS n FROM (SELECT repo_id, unnest(paths) AS relpath FROM changesets WHERE created_at BETWEEN @ASOF - INTERVAL {0} DAY AND @ASOF) WHERE relpath IS NOT NULL GROUP BY 1, 2)"
@@ -235,7 +235,7 @@ SQL = {
     for k, v in {
         "text_signals": _SIG + " SELECT * FROM sig",
         "signal_summary": _SIG + _SUM + " SELECT * FROM summary",
-        "crawl_inventory": _INV + " SELECT * EXCLUDE (reviewed_at), epoch_us(reviewed_at) AS reviewed_us FROM inv",
+        "crawl_inventory": _INV + " SELECT * EXCLUDE (reviewed_at), coalesce(epoch_us(reviewed_at), 0) AS reviewed_us FROM inv",
         "crawl_scores": _SCORED + " SELECT repo_id, relpath, score, fired FROM scored",
         "crawl_reasons": _INV + " " + " UNION ALL ".join(f"SELECT repo_id, relpath, '{n}' AS rule, round(({x})::double, 3) AS impact FROM inv WHERE {c}" for n, c, x in _RULES),
         "crawl_frontier": _SCORED + f", q AS (SELECT *, row_number() OVER (PARTITION BY repo_id {_FRONT}) AS place FROM scored) SELECT repo_id, relpath, score, place FROM q WHERE place <= 20",

@@ -56,7 +56,7 @@ def review_issues(spark: SparkSession, d: str) -> DataFrame:
 def detector_context(spark: SparkSession, d: str) -> DataFrame:
     """Findings with the signals of the newest delivery of their file: how many, the risk, and the first ten."""
     s = crawl.text_signals(spark, d)
-    listed = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("no", "hit", F.concat_ws(":", "rule", "severity", F.coalesce(F.col("line").cast("string"), F.lit("-"))).alias("t")))), 1, 10), lambda x: x["t"])
+    listed = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("no", "hit", F.concat_ws(":", "rule", "severity", F.col("line").cast("string")).alias("t")))), 1, 10), lambda x: x["t"])
     per = s.groupBy("file_id").agg(F.array_join(listed, ",").alias("signals"))  # a file has a few dozen signals at most
     per = per.join(crawl.signal_summary(spark, d).select("file_id", F.col("signals").alias("n"), "risk"), "file_id")
     newest = table(spark, d, "parse_results").where("relpath is not null").groupBy("repo_id", F.col("relpath").alias("file")).agg(F.max_by("file_id", F.struct("last_seen_at", "file_id")).alias("file_id"))
@@ -70,8 +70,8 @@ def confident_findings(spark: SparkSession, d: str) -> DataFrame:
 
 def policy_gates(spark: SparkSession, d: str) -> DataFrame:
     """Findings beside the policy of their category (that of others where it has none), and the first gate that stops them."""
-    base = spark.createDataFrame([("dead-code", True, "autofix", 0.7, 20), ("llm-review", True, "autofix", 0.7, 20), ("syntax-error", True, "autofix", 0.9, 20), ("*", True, "issue-only", 0.7, 20)], "category string, enabled boolean, mode string, min_confidence double, max_findings int")
-    over = spark.createDataFrame([("dead-code", "false", None, None, None), ("llm-review", "perhaps", "confirm", "0.5", "-3"), ("gone", "true", "autofix", "0.1", "5"), ("syntax-error", None, "nowhere", "1.5", "7")], "category string, enabled string, mode string, min_confidence string, max_findings string")
+    base = spark.createDataFrame([("dead-code", True, "fix", 0.7, 20), ("llm-review", True, "fix", 0.7, 20), ("syntax-error", True, "fix", 0.9, 20), ("*", True, "issue-only", 0.7, 20)], "category string, enabled boolean, mode string, min_confidence double, max_findings int")
+    over = spark.createDataFrame([("dead-code", "false", None, None, None), ("llm-review", "perhaps", "confirm", "0.5", "-3"), ("gone", "true", "fix", "0.1", "5"), ("syntax-error", None, "nowhere", "1.5", "7")], "category string, enabled string, mode string, min_confidence string, max_findings string")
     p = policies(base, over)
     f = _f(spark, d).select("finding_key", F.coalesce(S.tidy(F.col("category")), F.lit("")).alias("c"), F.coalesce("confidence_score", F.lit(0.0)).alias("conf"))
     own, other = p.where("category <> '*'"), p.where("category = '*'").select(F.struct("enabled", "mode", "min_confidence").alias("o"))
@@ -161,7 +161,7 @@ def invalid_symbols(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("symbol_id").isNull(), "no id").when(~F.col("symbol_id").eqNullSafe(F.concat_ws("::", "path", "name")), "other id").when(~F.coalesce(F.col("kind").isin("function", "class", "method"), F.lit(False)), "unknown kind")
         .when(F.coalesce("start_line", F.lit(0)) < 1, "no start").when(F.col("end_line").isNull() | (F.col("end_line") < F.col("start_line")), "no end")
     )
-    return s.select("symbol_id", "repo_id", "path", "name", "start_line", why.alias("reason")).where("reason is not null")
+    return s.select("symbol_id", "repo_id", "path", "name", F.coalesce("start_line", F.lit(0)).alias("start_line"), why.alias("reason")).where("reason is not null")
 
 
 def index_modes(spark: SparkSession, d: str) -> DataFrame:
@@ -245,10 +245,10 @@ def _sql() -> dict[str, str]:
         "crawl_state_rows": "SELECT file_id, relpath, coalesce(epoch_us(first_seen_at), epoch_us(last_seen_at))::varchar AS last_reviewed, coalesce(epoch_us(last_seen_at), epoch_us(first_seen_at))::varchar AS last_crawled, coalesce(content_hash, '') AS last_hash FROM parse_results WHERE relpath IS NOT NULL",
         "review_issues": "SELECT finding_key, 'llm-review-' || substr(sha256('llm-review-' || evidence.file || '-' || coalesce(evidence.line, 0) || '-' || substr(description, 1, 50)), 1, 16) AS issue_id, CASE WHEN coalesce(severity, 'low') IN ('low', 'medium', 'high', 'critical') THEN coalesce(severity, 'low') ELSE 'medium' END AS severity, "
         "'[' || coalesce(evidence.category_detail, '') || '] ' || description AS description FROM findings WHERE finding_key IS NOT NULL AND description <> '' AND evidence.file <> ''",
-        "detector_context": summary + ", l AS (SELECT file_id, array_to_string(list(rule || ':' || severity || ':' || coalesce(line::varchar, '-') ORDER BY no, hit)[1:10], ',') AS signals FROM sig GROUP BY 1), newest AS (SELECT repo_id, relpath, arg_max(file_id, (last_seen_at, file_id)) AS file_id FROM parse_results WHERE relpath IS NOT NULL GROUP BY 1, 2) "
+        "detector_context": summary + ", l AS (SELECT file_id, array_to_string(list(rule || ':' || severity || ':' || line::varchar ORDER BY no, hit)[1:10], ',') AS signals FROM sig GROUP BY 1), newest AS (SELECT repo_id, relpath, arg_max(file_id, (last_seen_at, file_id)) AS file_id FROM parse_results WHERE relpath IS NOT NULL GROUP BY 1, 2) "
         "SELECT finding_key, s.signals AS n, s.risk, l.signals FROM findings f JOIN newest n ON n.repo_id = f.repo_id AND n.relpath = f.evidence.file JOIN l USING (file_id) JOIN summary s USING (file_id) WHERE finding_key IS NOT NULL",
         "confident_findings": "SELECT finding_key, confidence_score FROM findings WHERE finding_key IS NOT NULL AND confidence_score >= 0.55",
-        "policy_gates": f"WITH p(category, enabled, mode, least_conf) AS (VALUES ('dead-code', false, 'autofix', 0.7::double), ('llm-review', true, 'confirm', 0.5::double), ('syntax-error', true, 'autofix', 0.9::double)), f AS (SELECT finding_key, coalesce({cat}, '') AS c, coalesce(confidence_score, 0) AS conf FROM findings WHERE finding_key IS NOT NULL) "
+        "policy_gates": f"WITH p(category, enabled, mode, least_conf) AS (VALUES ('dead-code', false, 'fix', 0.7::double), ('llm-review', true, 'confirm', 0.5::double), ('syntax-error', true, 'fix', 0.9::double)), f AS (SELECT finding_key, coalesce({cat}, '') AS c, coalesce(confidence_score, 0) AS conf FROM findings WHERE finding_key IS NOT NULL) "
         "SELECT finding_key, coalesce(category, '*') AS policy, CASE WHEN NOT coalesce(enabled, true) THEN 'disabled' WHEN coalesce(mode, 'issue-only') = 'issue-only' THEN 'issue-only' WHEN conf < least_conf THEN 'confidence' ELSE 'open' END AS gate FROM f LEFT JOIN p ON p.category = f.c",
         "recent_prs": "WITH p AS (SELECT repo_id, pr_number, epoch_us(max(processed_at)) AS newest, count(*) AS findings FROM findings WHERE finding_key IS NOT NULL AND pr_number IS NOT NULL AND processed_at IS NOT NULL GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY newest DESC, pr_number DESC) AS place FROM p) SELECT * FROM q WHERE place <= 20",
         "schedule_order": f"WITH pr AS ({graph.SQL['priority_score']}), q AS (SELECT f.repo_id, row_number() OVER (PARTITION BY f.repo_id ORDER BY priority DESC, batch_no NULLS LAST, finding_key) AS place, finding_key, priority FROM pr JOIN findings f USING (finding_key)) SELECT * FROM q WHERE place <= 50",
@@ -260,7 +260,7 @@ def _sql() -> dict[str, str]:
         "SELECT repo_id, path, string_agg(t::varchar, ',' ORDER BY t) AS ring FROM c WHERE rn <= 12 GROUP BY 1, 2",
         "embedding_matches": f"SELECT * FROM ({dedup.SQL['embedding_nearest']}) WHERE similarity >= 0.85",
         "imports_top3": f"WITH e AS ({graph.SQL['graph_edges']}), q AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY callee) AS rn FROM e) SELECT * FROM q WHERE rn <= 3",
-        "invalid_symbols": "SELECT * FROM (SELECT symbol_id, repo_id, path, name, start_line, CASE WHEN symbol_id IS NULL THEN 'no id' WHEN symbol_id IS DISTINCT FROM concat_ws('::', path, name) THEN 'other id' WHEN kind IS NULL OR kind NOT IN ('function', 'class', 'method') THEN 'unknown kind' WHEN coalesce(start_line, 0) < 1 THEN 'no start' WHEN end_line IS NULL OR end_line < start_line THEN 'no end' END AS reason "
+        "invalid_symbols": "SELECT * FROM (SELECT symbol_id, repo_id, path, name, coalesce(start_line, 0) AS start_line, CASE WHEN symbol_id IS NULL THEN 'no id' WHEN symbol_id IS DISTINCT FROM concat_ws('::', path, name) THEN 'other id' WHEN kind IS NULL OR kind NOT IN ('function', 'class', 'method') THEN 'unknown kind' WHEN coalesce(start_line, 0) < 1 THEN 'no start' WHEN end_line IS NULL OR end_line < start_line THEN 'no end' END AS reason "
         "FROM (SELECT DISTINCT * FROM symbols)) WHERE reason IS NOT NULL",
         "index_modes": inventory.SQL["snapshot_diff"].removesuffix(" SELECT repo_id, relpath, state FROM d") + ", s AS (SELECT repo_id, count(*) FILTER (state <> 'same') AS changed FROM d GROUP BY 1), m AS (SELECT repo_id, count(*) AS files, count(*) FILTER (NOT EXISTS (SELECT 1 FROM a WHERE a.repo_id = b.repo_id AND a.hash = b.hash)) AS missing FROM b GROUP BY 1) "
         "SELECT s.repo_id, CASE WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.repo_id = s.repo_id) THEN 'cold' WHEN changed = 0 THEN 'full-hit' WHEN coalesce(missing, 0) = 0 AND coalesce(files, 0) > 0 THEN 'shard-reuse' ELSE 'incremental' END AS mode, changed, coalesce(missing, 0) AS missing, coalesce(files, 0) AS files FROM s LEFT JOIN m USING (repo_id)",

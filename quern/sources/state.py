@@ -113,14 +113,14 @@ def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
     return None
 
 
-def policies(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
+def policies(defaults: DataFrame, overrides: DataFrame, modes: tuple[str, ...] = ("fix", "issue-only", "confirm", "disabled")) -> DataFrame:
     """Per category its policy: defaults (category, enabled, mode, min_confidence, max_findings) under overrides of the
     same names as texts. An override that is not of its column's type, or whose category is unknown, does not count; of
     several for a category the greatest value holds."""
     o = overrides.select(F.col("category"), F.col("enabled").try_cast("boolean").alias("e"), F.col("mode").alias("m"), F.col("min_confidence").try_cast("double").alias("c"), F.col("max_findings").try_cast("int").alias("f"))
     o = o.groupBy("category").agg(*[F.max(x).alias(x) for x in "emcf"])
     j = defaults.join(o, "category", "left")
-    mode = F.when(F.col("m").isin("autofix", "issue-only", "confirm", "disabled"), F.col("m"))
+    mode = F.when(F.col("m").isin(*modes), F.col("m"))
     return j.select("category", F.coalesce("e", "enabled").alias("enabled"), F.coalesce(mode, F.col("mode")).alias("mode"), F.coalesce(F.when(F.col("c").between(0, 1), F.col("c")), F.col("min_confidence")).alias("min_confidence"),
         F.coalesce(F.when(F.col("f") > 0, F.col("f")), F.col("max_findings")).alias("max_findings"))
 
