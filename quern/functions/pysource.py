@@ -92,6 +92,29 @@ def python_facts(source: str | None) -> Iterator[Fact]:
             yield "signal", name, None, None, None, 1, None, n
 
 
+def node_chain(source: str | None, first: int, last: int) -> list[str]:
+    """The kinds of the syntax nodes that cover a span of lines, from the outermost to the innermost; [] without a tree."""
+    tree = _tree(source)
+    out: list[str] = []
+    node: ast.AST | None = tree
+    while node is not None:
+        out.append(type(node).__name__)
+        node = next((n for n in ast.iter_child_nodes(node) if getattr(n, "lineno", last + 1) <= first and (getattr(n, "end_lineno", None) or 0) >= last), None)
+    return out
+
+
+def node_chains(spans: DataFrame) -> DataFrame:
+    """(id, chain) of spans (id, text, first, last), the kinds joined by >; texts that do not parse have NULL."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = (c.to_pylist() for c in batch.columns[1:])
+            chains = [">".join(node_chain(t, a, b)) or None if a is not None and b is not None else None for t, a, b in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chains, type=pa.string())], names=["id", "chain"])
+
+    return spans.select(spans["id"].cast("long").alias("id"), "text", spans["first"].cast("int").alias("first"), spans["last"].cast("int").alias("last")).mapInArrow(look, "id long, chain string")
+
+
 def outline_facts(symbol: re.Pattern[str], imported: re.Pattern[str]) -> Callable[[str | None], Iterator[Fact]]:
     """Facts of a language without a parser here: symbols and imports as declarations at the start of lines tell them.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.pysource import facts
+from quern.functions.pysource import facts, node_chains
 from quern.operators import resolve
 
 TREE = {
@@ -52,10 +52,18 @@ def example_edges(spark: SparkSession, d: str) -> DataFrame:
     return resolve.edges(*tree(spark)).select("caller", "callee")
 
 
+CHAINS = [(1, "Module>ClassDef>FunctionDef>Return>Call>Name"), (2, "Module>FunctionDef>Return>Tuple>Name"), (3, "Module>FunctionDef"), (4, None)]
+
+
+def example_chains(spark: SparkSession, d: str) -> DataFrame:
+    spans = [(1, TREE["app/util.py"], 3, 3), (2, TREE["app/sub/deep.py"], 5, 5), (3, TREE["app/main.py"], 5, 6), (4, TREE["app/broken.py"], 1, 1)]
+    return node_chains(spark.createDataFrame(spans, "id long, text string, first int, last int"))
+
+
 def _values(names: str, rows) -> str:
     value = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in sorted(rows, key=str))}) t({names})"
 
 
-QUERIES = {f.__name__: f for f in (example_symbols, example_imports, example_edges)}
-SQL = {"example_symbols": _values("relpath, name, kind, start_line, end_line", SYMBOLS), "example_imports": _values("relpath, bound, target, symbol", IMPORTS), "example_edges": _values("caller, callee", EDGES)}
+QUERIES = {f.__name__: f for f in (example_symbols, example_imports, example_edges, example_chains)}
+SQL = {"example_symbols": _values("relpath, name, kind, start_line, end_line", SYMBOLS), "example_imports": _values("relpath, bound, target, symbol", IMPORTS), "example_edges": _values("caller, callee", EDGES), "example_chains": _values("id, chain", CHAINS)}

@@ -89,10 +89,16 @@ def refresh_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sidecar_merge(spark: SparkSession, d: str) -> DataFrame:
-    """reverse_refs kept for untouched files and made anew for refreshed ones: equal to a rebuild without lost files."""
+    """reverse_refs kept for untouched files and made anew for refreshed ones: equal to a rebuild without lost files.
+
+    What is made anew reads the symbols of refreshed files alone, and the edges that these call along.
+    """
     fresh = refresh_set(spark, d)
-    refs = reverse_refs(spark, d)
-    return refs.join(fresh, "path", "left_anti").withColumn("origin", F.lit("kept")).union(refs.join(fresh, "path", "left_semi").withColumn("origin", F.lit("fresh")))
+    symbols, e = _graph(spark, d)
+    own = symbols.join(fresh, "path", "left_semi")
+    again = e.join(own.select(F.col("symbol_id").alias("caller"), "path"), "caller").select("path", F.col("callee").alias("symbol_id")).union(own.select("path", "symbol_id")).distinct()
+    kept = reverse_refs(spark, d).select("path", "symbol_id").join(fresh, "path", "left_anti")  # stands for the stored table
+    return kept.withColumn("origin", F.lit("kept")).union(again.withColumn("origin", F.lit("fresh")))
 
 
 def importers_top3(spark: SparkSession, d: str) -> DataFrame:

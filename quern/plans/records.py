@@ -185,6 +185,26 @@ def repo_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "repos").where("path is not null").select("repo_id").distinct().join(g, "repo_id", "left").fillna(0)
 
 
+def findings_in_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Open findings whose id or detail some pull request or issue already carries in its branch or reason."""
+    f = _f(spark, d)
+    feed = f.where("pr_number is not null or issue_number is not null").where("finding_id is not null").select("repo_id", S.tidy(F.col("finding_id")).alias("term")).distinct()
+    new = f.where("pr_number is null and issue_number is null").select("finding_key", "repo_id", S.tidy(F.col("finding_id")).alias("term"))
+    return new.join(feed, ["repo_id", "term"], "left_semi").select("finding_key", "repo_id")
+
+
+def scan_events(spark: SparkSession, d: str) -> DataFrame:
+    """The event with which the scan of each changeset starts."""
+    c = table(spark, d, "changesets").where("changeset_id is not null and created_at is not null")
+    return c.select(F.lit("ScanStarted").alias("event"), S.scan_id(F.col("created_at"), F.sha2(F.col("changeset_id").cast("string"), 256)).alias("scan_id"), "repo_id", F.coalesce("is_fresh_instance", F.lit(False)).alias("sweep"), F.greatest(F.coalesce(F.size("paths"), F.lit(0)), F.lit(0)).alias("paths"))
+
+
+def attempt_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Over all findings that were attempted: how many, how many came through, the rate, and all attempts."""
+    f = _f(spark, d).where("attempt_count > 0")
+    return f.agg(F.count(F.lit(1)).alias("tasks"), F.count_if(F.coalesce("status", F.lit("")) == "fixed").alias("resolved"), F.round(F.coalesce(F.avg((F.coalesce("status", F.lit("")) == "fixed").cast("double")), F.lit(0.0)), 6).alias("pass_rate"), F.coalesce(F.sum("attempt_count"), F.lit(0)).alias("attempts"))
+
+
 def q_states(spark: SparkSession, d: str) -> DataFrame:
     """Findings by category, extension, centrality tier of their file and severity, joined to one key."""
     tiers = graph.centrality_tier(spark, d).select("symbol_id", "tier", "degree")
@@ -218,7 +238,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         finding_rows, crawl_state_rows, review_issues, detector_context, confident_findings, policy_gates, recent_prs, schedule_order, ordered_groups, appended_findings, legacy_dedup, drift_batches, selection_rings, embedding_matches,
-        imports_top3, invalid_symbols, index_modes, repo_outcomes, q_states, unreferenced_functions,
+        imports_top3, invalid_symbols, index_modes, repo_outcomes, findings_in_feed, scan_events, attempt_summary, q_states, unreferenced_functions,
     )
 }
 
@@ -265,6 +285,9 @@ def _sql() -> dict[str, str]:
         "index_modes": inventory.SQL["snapshot_diff"].removesuffix(" SELECT repo_id, relpath, state FROM d") + ", s AS (SELECT repo_id, count(*) FILTER (state <> 'same') AS changed FROM d GROUP BY 1), m AS (SELECT repo_id, count(*) AS files, count(*) FILTER (NOT EXISTS (SELECT 1 FROM a WHERE a.repo_id = b.repo_id AND a.hash = b.hash)) AS missing FROM b GROUP BY 1) "
         "SELECT s.repo_id, CASE WHEN NOT EXISTS (SELECT 1 FROM a WHERE a.repo_id = s.repo_id) THEN 'cold' WHEN changed = 0 THEN 'full-hit' WHEN coalesce(missing, 0) = 0 AND coalesce(files, 0) > 0 THEN 'shard-reuse' ELSE 'incremental' END AS mode, changed, coalesce(missing, 0) AS missing, coalesce(files, 0) AS files FROM s LEFT JOIN m USING (repo_id)",
         "repo_outcomes": "SELECT r.repo_id, count(*) FILTER (status IN ('fixed', 'issue-opened')) AS ok, count(*) FILTER (status IN ('failed', 'permanently_failed')) AS failed, count(*) FILTER (starts_with(status, 'skipped') OR starts_with(status, 'suppressed')) AS skipped FROM (SELECT DISTINCT repo_id FROM repos WHERE path IS NOT NULL) r LEFT JOIN (SELECT * FROM findings WHERE finding_key IS NOT NULL) f ON f.repo_id = r.repo_id GROUP BY 1",
+        "findings_in_feed": f"SELECT finding_key, repo_id FROM findings f WHERE finding_key IS NOT NULL AND pr_number IS NULL AND issue_number IS NULL AND EXISTS (SELECT 1 FROM findings g WHERE g.finding_key IS NOT NULL AND g.repo_id = f.repo_id AND (g.pr_number IS NOT NULL OR g.issue_number IS NOT NULL) AND {_TIDY.format('g.finding_id')} = {_TIDY.format('f.finding_id')})",
+        "scan_events": "SELECT 'ScanStarted' AS event, strftime(created_at AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ') || '-' || substr(sha256(changeset_id::varchar), 1, 8) AS scan_id, repo_id, coalesce(is_fresh_instance, false) AS sweep, coalesce(len(paths), 0) AS paths FROM changesets WHERE changeset_id IS NOT NULL AND created_at IS NOT NULL",
+        "attempt_summary": "SELECT count(*) AS tasks, count(*) FILTER (status = 'fixed') AS resolved, round(coalesce(avg((coalesce(status, '') = 'fixed')::int), 0), 6)::double AS pass_rate, coalesce(sum(attempt_count), 0)::bigint AS attempts FROM findings WHERE finding_key IS NOT NULL AND attempt_count > 0",
         "q_states": f"WITH ct AS ({graph.SQL['centrality_tier']}), per AS (SELECT y.repo_id, y.path, arg_max(tier, (degree, y.symbol_id)) AS tier FROM (SELECT DISTINCT symbol_id, repo_id, path FROM symbols) y JOIN ct USING (symbol_id) GROUP BY 1, 2) "
         rf"SELECT coalesce({cat}, '') || '|' || lower(regexp_extract(coalesce(evidence.file, ''), '(\.[^./\\]+)$', 1)) || '|' || coalesce(tier, 'low') || '|' || coalesce({_TIDY.format('severity')}, 'low') AS state, count(*) AS findings FROM findings f LEFT JOIN per ON per.repo_id = f.repo_id AND per.path = f.evidence.file WHERE finding_key IS NOT NULL GROUP BY 1",
         "unreferenced_functions": "WITH n AS (SELECT repo_id, name, count(DISTINCT path) AS files FROM symbols WHERE kind = 'function' AND regexp_full_match(name, '[A-Za-z0-9_]+') AND NOT regexp_matches(name, '^(_|cmd_|test_)') AND name NOT IN ('build_parser', 'cli_main', 'main', 'setup', 'teardown') GROUP BY 1, 2), "

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
-from quern.functions.pysource import FACTS, facts
+from quern.functions.pysource import FACTS, facts, node_chains
 from quern.operators import resolve
-from quern.sources.tables import texts
+from quern.sources.tables import table, texts
 
 
 def source_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +78,14 @@ def derived_edges(spark: SparkSession, d: str) -> DataFrame:
     return resolve.edges(source_facts(spark, d), texts(spark, d).select("repo_id", "relpath"))
 
 
+def finding_chains(spark: SparkSession, d: str) -> DataFrame:
+    """For each finding in a Python file the kinds of syntax nodes around its line, in the newest delivery of the file."""
+    newest = F.max_by(F.struct("file_id", F.array_join("lines", "\n").alias("text")), F.struct("last_seen_at", "file_id"))
+    f = texts(spark, d).where(S.extension(F.col("relpath")) == ".py").groupBy("repo_id", F.col("relpath").alias("file")).agg(newest.alias("v")).select("repo_id", "file", "v.text")
+    g = table(spark, d, "findings").where("finding_key is not null and evidence.line is not null").select(F.col("finding_key").alias("id"), "repo_id", F.col("evidence.file").alias("file"), F.col("evidence.line").alias("first"))
+    return node_chains(g.join(f, ["repo_id", "file"]).select("id", "text", "first", F.col("first").alias("last"))).withColumnRenamed("id", "finding_key")
+
+
 def module_edges(spark: SparkSession, d: str) -> DataFrame:
     """(repo_id, source, target): a file imports a module whose first segment is the stem of another file of its
     repository; of several files with a stem the last by path."""
@@ -91,5 +99,5 @@ def python_signals(spark: SparkSession, d: str) -> DataFrame:
     return _python(spark, d, "signal").select("file_id", "repo_id", "relpath", F.col("name").alias("rule"), F.col("start_line").alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (python_symbols, outline_symbols, python_imports, unused_imports, unused_imports_by_file, resolved_imports, derived_edges, module_edges, python_signals)}
+QUERIES = {f.__name__: f for f in (python_symbols, outline_symbols, python_imports, unused_imports, unused_imports_by_file, resolved_imports, derived_edges, module_edges, finding_chains, python_signals)}
 SQL: dict[str, str] = {}
