@@ -124,7 +124,9 @@ def schedule(sized: DataFrame, targets: DataFrame, block: int = 4096, most: int
     Documents of a source are numbered by their running size in an order that a hash of doc_id gives; start is where a
     use begins in what the source gives, all passes counted, and block_no is start over ``block`` units. Sorting by
     (slot, start) gives the order of the mix. The last use of a source ends with the document that reaches what the plan
-    gives. ``sized`` is read once and kept as a checkpoint of a few numbers a document.
+    gives. ``sized`` is read once and kept as a checkpoint of a few numbers a document. Rows repeated under one doc_id,
+    or with a NULL one, are each a document; those with a NULL source or no size take no part. A source without rows, or
+    an empty table, gives no use.
     """
     spark = sized.sparkSession
     d = cut(sized.where("source is not null").select("doc_id", tidy(F.col("source")).alias("source"), F.col("size").cast("long").alias("size")))
@@ -146,7 +148,7 @@ def schedule(sized: DataFrame, targets: DataFrame, block: int = 4096, most: int
     offsets = d.groupBy("key", "part").agg(F.sum("units").alias("u"))  # targets x parts rows
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("key", "part", F.coalesce(F.sum("u").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("key", "part").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("key", "part").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "units").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("units").over(within), F.lit(0))).join(offsets.hint("merge"), ["key", "part"]).withColumn("first", F.col("offset") + F.col("inner"))
     used = d.join(F.broadcast(few), "key").withColumn("passes", F.ceil(F.greatest(F.lit(0.0), (F.col("given") - F.col("first")) / F.col("size"))).cast("int")).where("passes > 0")
     used = used.withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("passes")))).withColumn("start", F.col("first") + (F.col("pass_no") - 1) * F.col("size"))

@@ -128,6 +128,16 @@ def test_mix_edges(spark):
     assert not any(x.short for x in mixing.shares(none, t).collect())
 
 
+def test_mix_of_repeated_and_nameless_documents(spark):
+    rows = [(None, "a", 7, ""), (None, "a", 7, ""), (1, "a", 5, ""), (1, "a", 5, ""), (1, "a", 9, ""), (2, "B", 40, ""), (3, None, 5, "")]
+    t = spark.createDataFrame([("a", 0.5, 2, 1), ("b", 0.5, 1, 1)], TARGETS)
+    got = mixing.mix(spark.createDataFrame(rows, SIZED), t, block=10).collect()
+    for k in ("a", "b"):
+        spans = sorted((x.start, x.start + x.units) for x in got if x.source == k)
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))  # uses follow each other without a gap
+    assert {(x.doc_id, x.pass_no) for x in got if x.source == "a"} >= {(None, 1), (1, 1)} and sum(x.source == "b" for x in got) == 1
+
+
 def test_words_are_split_at_any_white_space(spark):
     text = "a\tb c d  e\x1cf\n"
     assert spark.createDataFrame([(text,)], "t string").select(mixing.word_count("t")).first()[0] == len(text.split())
