@@ -1,11 +1,11 @@
 """Problem 3: a new batch against everything accepted before, at a cost that follows the batch.
 
-A text's fingerprint is 64 bits: 4 bits of each of 16 sampled tokens (see ``signatures``), so that fingerprints of alike
-texts differ in few bits. It is stored under several of its rotations, in a table keyed by the whole hash of the block
-that the rotation brings to the front and, where that block is populous, of what follows it. A new text looks up its own
-leading blocks; what matches in a block exactly is verified, first by the number of differing bits, then by the sets of
-tokens themselves. Afterwards the batch's own fingerprints are appended. ``replay`` does so for all batches of a table
-in one pass, ``HistoryStore`` batch by batch on stored tables.
+A text's fingerprint has 64 bits, in which alike texts differ little (see ``prefixes``). It is stored once for each block
+of the text's beginning, under the rotation that brings this block to the front: in a table keyed by the whole hash of
+the block. A new text looks up the blocks of its own beginning; what matches in a block exactly is verified, first by
+sizes and the number of differing bits, then by the sets of tokens themselves. The number of blocks and that of bits
+follow from the sizes of the sets, so that no alike pair is lost. Afterwards the batch's own fingerprints are appended.
+``replay`` does so for all batches of a table in one pass, ``HistoryStore`` batch by batch on stored tables.
 """
 
 from __future__ import annotations
@@ -14,22 +14,14 @@ import json
 import uuid
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import prefixes
 from .common import cut, tidy
 from .near_duplicates import alike, merged
-from .signatures import BUCKET_BITS, DEEP, REGION, SHARE, STEPS, SUBSET, neighbours, rarity, set_rows, signature_rows, token_rows
-
-BLOCKS = 16
-#: A pair with weighted similarity 0.6 has none of these blocks in common with a probability of 2e-5 where blocks are of
-#: one token, 5e-3 of two, 5e-2 of three; at 0.8 of 4e-9, 5e-6 and 3e-4.
-ROTATIONS = 12
-#: Fingerprints of texts with weighted similarity 0.6 differ in 13 of 64 bits on average (standard deviation 4.7), of
-#: 0.7 in 10, of unlike texts in 32 (4); the bits come from first tokens alone, so that this is so whatever the depth of
-#: the blocks. The bound lies between: at 0.6 one pair in 100 differs in more bits and is missed, at 0.7 one in 2000.
-MOST_BITS = 24
+from .signatures import BUCKET_BITS, REGION, STEPS, rarity, token_rows
+
 #: Rows in these states make later rows with an alike description superfluous.
 SETTLED = ("fixed", "issue-opened", "failed", "permanently_failed")
 #: A batch that the past never asks, a settling that never comes.
@@ -44,41 +36,15 @@ def arrivals(findings: DataFrame) -> DataFrame:
     )
 
 
-def classes(rows: DataFrame, table, num: int = 6, den: int = 10, region: int = REGION) -> DataFrame:
-    """One row per class of equal descriptions: h, keys, print, low and high batch, first settled batch (or NULL)."""
-    signed = signature_rows(token_rows(rows.where("text is not null"), "batch", "settled"), table, BLOCKS, SHARE, region, num, den, ROTATIONS)
-    return signed.groupBy("h").agg(
-        F.first("keys").alias("keys"), F.first("print").alias("print"), F.min("batch").alias("low"), F.max("batch").alias("high"), F.min(F.when(F.col("settled"), F.col("batch"))).alias("settled_in")
+def classes(rows: DataFrame) -> DataFrame:
+    """One row per class of equal descriptions: h, tokens (32 bits), low and high batch, first settled batch (or NULL)."""
+    told = token_rows(rows.where("text is not null"), "batch", "settled")
+    small = told.select("h", "batch", "settled", F.transform("tokens", lambda t: F.shiftright(t, 32).cast("int")).alias("tokens"))
+    return small.groupBy("h").agg(
+        F.first("tokens").alias("tokens"), F.min("batch").alias("low"), F.max("batch").alias("high"), F.min(F.when(F.col("settled"), F.col("batch"))).alias("settled_in")
     )
 
 
-def exempt(key: Column) -> Column:
-    """Whether a key is that of a subset of few tokens, met exactly, so that bits need not be counted."""
-    return key.bitwiseAND(F.lit((1 << DEEP) - 1).cast("long")) == SUBSET
-
-
-def look_up(trees: DataFrame, most_bits: int = MOST_BITS, region: int = REGION) -> DataFrame:
-    """Candidates (hq, hs, batch): fingerprints of a lower settled batch with a block in common and few differing bits.
-
-    ``trees`` has key, h, print, asks (the batch up to which a text asks, NO_BATCH if it doesn't), settled (NEVER if not).
-    """
-
-    def found(cols: list[np.ndarray], a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> list[np.ndarray]:
-        key, h, bits, asks, settled = cols
-        near = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= most_bits
-        near |= (key[a] & np.uint64((1 << DEEP) - 1)) == np.uint64(SUBSET)
-        near &= h[a] != h[b]
-        one, two = near & (settled[b] < asks[a]), near & (settled[a] < asks[b])
-        q, s = np.concatenate((a[one], b[two])), np.concatenate((b[one], a[two]))
-        return [h[q], h[s], settled[s]]
-
-    near, left = neighbours(trees, found, [("hq", pa.int64()), ("hs", pa.int64()), ("batch", pa.int32())], region)
-    q = left.where(F.col("asks") > NO_BATCH).select("key", F.col("h").alias("hq"), F.col("print").alias("pq"), "asks")
-    s = left.where(F.col("settled") < NEVER).select("key", F.col("h").alias("hs"), F.col("print").alias("ps"), F.col("settled").alias("batch"))
-    rest = merged(q, s, "key").where("batch < asks and hq <> hs").where((F.bit_count(F.col("pq").bitwiseXOR(F.col("ps"))) <= most_bits) | exempt(F.col("key")))
-    return near.union(rest.select("hq", "hs", "batch")).distinct()
-
-
 def verify(candidates: DataFrame, asked: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
     """(h, batch): the lowest batch that has a settled text alike to class h; asked and stored are (h, tokens)."""
     a, b = asked.select(F.col("h").alias("hq"), F.col("tokens").alias("tq")), stored.select(F.col("h").alias("hs"), F.col("tokens").alias("ts"))
@@ -99,13 +65,14 @@ def replay(rows: DataFrame, num: int = 6, den: int = 10, region: int = REGION) -
 
     told = rows.where("text is not null")
     table = rows.sparkSession.sparkContext.broadcast(rarity(token_rows(told)))
-    every = cut(classes(told, table, num, den, region))
+    every = cut(classes(told))
     # rows of a class after its own first settled batch are found as it is; the others look for a still earlier one
     open_ = F.col("settled_in").isNull() | (F.col("low") <= F.col("settled_in"))
     asks = F.when(open_, F.least("high", "settled_in")).otherwise(NO_BATCH).alias("asks")
-    trees = every.select(F.explode("keys").alias("key"), "h", "print", asks, F.coalesce("settled_in", F.lit(NEVER)).alias("settled"))
-    sets, old = set_rows(token_rows(told)), set_rows(token_rows(told.where("settled")))
-    alike_in = verify(look_up(trees, region=region), sets, old, num, den)
+    sides = every.select("h", "tokens", asks, F.coalesce("settled_in", F.lit(NEVER)).alias("settled")).where((F.col("asks") > NO_BATCH) | (F.col("settled") < NEVER))
+    near = prefixes.look_up(prefixes.entry_rows(sides, table, num, den), num, den, region).distinct()
+    sets = every.select("h", "tokens")
+    alike_in = verify(near, sets, sets, num, den)
     own = every.where("settled_in is not null").select("h", F.col("settled_in").alias("batch"))
     earliest = alike_in.union(own).groupBy("h").agg(F.min("batch").alias("earliest"))
     by_text = merged(token_rows(told, "finding_key", "batch").select("finding_key", "batch", "h"), earliest, "h").where("batch > earliest").select("finding_key")
@@ -184,18 +151,17 @@ class HistoryStore:
         by_id = self._meet(ids, rows.where("fid is not null").select("fid", "finding_key"), "fid").select("finding_key")
         told = rows.where("text is not null")
         table = self.spark.sparkContext.broadcast(self._logs(self._counts(m["keyed"])))
-        every = cut(classes(told, table, num, den).select("h", "keys", "print"))
+        every = cut(classes(told).select("h", "tokens"))
         own = self._meet(sets.select("h"), every.select("h"), "h")
-        asked = every.select(F.explode("keys").alias("key"), F.col("h").alias("hq"), F.col("print").alias("pq"))
-        near = self._meet(stored.withColumnRenamed("h", "hs"), asked, "key").where("hq <> hs")
-        near = near.where((F.bit_count(F.col("pq").bitwiseXOR(F.col("print"))) <= MOST_BITS) | exempt(F.col("key"))).select("hq", "hs", F.lit(0).alias("batch")).distinct()
-        near = cut(near)
-        texts = set_rows(self._meet(sets, near.select(F.col("hs").alias("h")).distinct(), "h").select("h", "tokens"))
-        found = verify(near, set_rows(token_rows(told)), texts, num, den).select("h").union(own.select("h")).distinct()
+        asked = prefixes.banded(prefixes.entry_rows(every, table, num, den), num, den)[1]
+        near = prefixes.meets(prefixes.side(asked, "q"), prefixes.side(stored, "s"), lambda q, s, on: self._meet(s, q, on), num, den)
+        near = cut(near.select("hq", "hs", F.lit(0).alias("batch")).distinct())
+        texts = self._meet(sets, near.select(F.col("hs").alias("h")).distinct(), "h").groupBy("h").agg(F.first("tokens").alias("tokens"))
+        found = verify(near, every, texts, num, den).select("h").union(own.select("h")).distinct()
         by_text = merged(token_rows(told, "finding_key").select("finding_key", "h"), found, "h").select("finding_key")
         return by_id.union(by_text).distinct()
 
-    def _meet(self, history: DataFrame, batch: DataFrame, on: str) -> DataFrame:
+    def _meet(self, history: DataFrame, batch: DataFrame, on: str | list[str]) -> DataFrame:
         """Join stored rows with those of the batch: sent to the history if they're at most ``send``, else shuffled."""
         return history.join(F.broadcast(batch), on) if batch.count() <= self.send else merged(history, batch, on)
 
@@ -203,14 +169,13 @@ class HistoryStore:
         at = f"{self.path}/parts/{part}"
         rows.where("fid is not null").groupBy("fid").agg(F.min("batch").alias("batch")).write.parquet(f"{at}/ids")
         settled = rows.where("settled and text is not null")
-        new = classes(settled, self.spark.sparkContext.broadcast(logs))
-        self._blocks(new.select("h", "keys", "print")).write.parquet(f"{at}/blocks")
-        token_rows(settled).groupBy("h").agg(F.first("tokens").alias("tokens"), F.first("salt").alias("salt")).sortWithinPartitions("h").write.parquet(f"{at}/sets")
+        classes(settled).select("h", "tokens").sortWithinPartitions("h").write.parquet(f"{at}/sets")
+        self._write_keys(at, logs)
 
-    @staticmethod
-    def _blocks(signed: DataFrame) -> DataFrame:
-        """The rotated tables: a row for each rotation of each fingerprint, under its leading block."""
-        return signed.select(F.explode("keys").alias("key"), "h", "print").sortWithinPartitions("key")
+    def _write_keys(self, at: str, logs: np.ndarray) -> None:
+        """The rotated tables of a part: a row for each rotation of each fingerprint, under its leading block."""
+        entries = prefixes.entry_rows(self.spark.read.parquet(f"{at}/sets"), self.spark.sparkContext.broadcast(logs))
+        prefixes.banded(entries)[0].sortWithinPartitions("key", "band").write.parquet(f"{at}/blocks")
 
     def append(self, rows: DataFrame) -> None:
         """Take a checked batch into the history, found rows too; batches already there change nothing."""
@@ -233,9 +198,6 @@ class HistoryStore:
             return
         name, at = uuid.uuid4().hex, f"{self.path}/parts"
         self._read(m, "ids").groupBy("fid").agg(F.min("batch").alias("batch")).write.parquet(f"{at}/{name}/ids")
-        sets = self._read(m, "sets").groupBy("h").agg(F.first("tokens").alias("tokens"), F.first("salt").alias("salt"))
-        sets.sortWithinPartitions("h").write.parquet(f"{at}/{name}/sets")
-        table = self.spark.sparkContext.broadcast(self._logs(self._counts(m["counts"])))
-        signed = signature_rows(self.spark.read.parquet(f"{at}/{name}/sets").select("h", "tokens", "salt"), table, BLOCKS, SHARE, use=ROTATIONS)
-        self._blocks(signed.select("h", "keys", "print")).write.parquet(f"{at}/{name}/blocks")
+        self._read(m, "sets").groupBy("h").agg(F.first("tokens").alias("tokens")).sortWithinPartitions("h").write.parquet(f"{at}/{name}/sets")
+        self._write_keys(f"{at}/{name}", self._logs(self._counts(m["counts"])))
         self._publish({"version": m["version"] + 1, "parts": [name], "batches": m["batches"], "counts": m["counts"], "keyed": m["counts"]})

@@ -256,7 +256,7 @@ def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [cols[0].view(np.uint64), *cols[1:]]
 
 
-def neighbours(trees: DataFrame, found: Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], columns: list[tuple[str, pa.DataType]], region: int = REGION) -> tuple[DataFrame, DataFrame]:
+def neighbours(trees: DataFrame, found: Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], columns: list[tuple[str, pa.DataType]], region: int = REGION, order: tuple[str, ...] = ("key", "h")) -> tuple[DataFrame, DataFrame]:
     """(pairs, left): pairs of rows in one region of at most ``region`` rows, and the rows of larger ones.
 
     ``trees`` has key, h and more columns without NULLs; ``found`` gets these as arrays, the places a and b of pairs of rows and the number
@@ -264,10 +264,10 @@ def neighbours(trees: DataFrame, found: Callable[[list[np.ndarray], np.ndarray,
     tokens of a key leave together. It is to be joined with itself on key, where Spark splits what is skewed.
 
     Rows are shuffled by the head of their key, of which no token but common ones is repeated in more than one row of
-    SHARE, and sorted by the whole. Both results read one shuffle.
+    SHARE, and sorted by the whole (``order``). Both results read one shuffle.
     """
     names = trees.columns
-    laid = trees.repartition(F.shiftrightunsigned("key", DEEP)).sortWithinPartitions("key", "h")
+    laid = trees.repartition(F.shiftrightunsigned("key", DEEP)).sortWithinPartitions(*order)
 
     def stream(batches: Iterator[pa.RecordBatch]):
         regions, empty = Regions(region), None

@@ -175,6 +175,27 @@ def test_replay_of_short_texts_of_common_words(spark):
     assert {x.finding_key for x in history.replay(arrivals(spark, rows), region=0).collect()} == brute(rows)
 
 
+def sharing_a_template(n=400):
+    """Pairs that share only the words of a template, which all rows have, and differ in all the rare ones."""
+    r = random.Random(8)
+    base = [f"c{i}" for i in range(24)]
+    return [(i, 1 + i % 2, None, " ".join(r.sample(base, r.choice([15, 24])) + [f"own{i}_{j}" for j in range(8)]), "fixed" if i % 2 == 0 else "new") for i in range(n)]
+
+
+@pytest.mark.parametrize("region", [3, 500])
+def test_no_pair_depends_on_a_fingerprint(spark, region):
+    rows = sharing_a_template()
+    assert {x.finding_key for x in history.replay(arrivals(spark, rows), region=region).collect()} == brute(rows)
+    assert 50 < len(brute(rows)) < 200
+
+
+def test_store_finds_what_no_fingerprint_tells(spark, tmp_path):
+    rows = sharing_a_template(120)
+    store = history.HistoryStore(spark, f"file://{tmp_path}/store")
+    store.append(arrivals(spark, [x for x in rows if x[1] == 1]))
+    assert {x.finding_key for x in store.check(arrivals(spark, [x for x in rows if x[1] == 2])).collect()} == brute(rows)
+
+
 def test_keys_do_not_change_with_the_size():
     r = np.random.default_rng(1)
     counts = np.append(r.integers(64, 1000, 1 << 10), round(64 * np.log2(1_000_000))).astype(np.uint16)
