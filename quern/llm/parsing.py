@@ -15,6 +15,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+import sys
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -30,13 +31,27 @@ CLAIMS = {".py": "python", ".js": "javascript", ".ts": "typescript", ".go": "go"
 
 
 def python_ok(text: str) -> bool:
+    """Whether Python's parser takes a text. How many digits a number has is no matter of the grammar."""
+    digits = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
+    try:
+        return _python_parses(text)
+    finally:
+        sys.set_int_max_str_digits(digits)
+
+
+def _python_parses(text: str) -> bool:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
             ast.parse(text, feature_version=(3, 12))
         except RecursionError:  # the text was parsed; only its tree is too deep to be made into objects
             return True
-        except (SyntaxError, ValueError, MemoryError):
+        except (SyntaxError, ValueError):
+            return False
+        except MemoryError as e:
+            if "too complex to parse" not in str(e):  # memory has run out, which says nothing of the text
+                raise
             return False
     return True
 
@@ -47,7 +62,7 @@ def _no_constant(name: str):
 
 def json_ok(text: str) -> bool:
     try:
-        json.loads(text, parse_constant=_no_constant)
+        json.loads(text, parse_constant=_no_constant, parse_int=len, parse_float=len)
     except ValueError:
         return False
     except RecursionError:

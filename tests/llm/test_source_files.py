@@ -125,6 +125,24 @@ def test_more_groups_than_characters(monkeypatch):
     assert js("".join("g([" + "1," * k + "]);\n" for k in range(200))) and not js("f((;")
 
 
+def test_no_failure_of_a_parser_is_its_verdict(monkeypatch):
+    deep = "x = " + "[" * 3000 + "1" + "]" * 3000 + ";\n" + "if (a) { b(); } else " * 3000 + "{ c(); }\n"
+    assert grammars.JS(deep) and grammars.TS(deep) and not grammars.JS(deep + "f((;") and not grammars.JS(deep.replace("1", "1 1"))
+    go = "package p\n\nvar x = " + "(" * 3000 + "1" + ")" * 3000 + "\n"
+    assert grammars.GO(go) and not grammars.GO(go.replace("1", "1 1"))
+    assert parsing.json_ok("[" + "9" * 5000 + "]") and parsing.python_ok("x = " + "9" * 5000) and not parsing.python_ok("x = 9 9")
+    monkeypatch.setattr(grammars, "MOST", 50)
+    many = "".join("g([" + "1," * k + "]);\n" for k in range(300))
+    assert type(grammars.JS)(False)(many) and not type(grammars.JS)(False)(many + "f(1 1);\n")
+
+    def lost(*_, **__):
+        raise MemoryError
+
+    monkeypatch.setattr(parsing.ast, "parse", lost)
+    with pytest.raises(MemoryError):
+        parsing.verdict("python", b"x = 1\n")
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
