@@ -60,8 +60,6 @@ SUBSCRIPT = re.compile(r"[\w)\]\"'`?.]\[$")
 MASKED = re.compile(r"(?=.*xxxx)(?:[x\W_]|\\.)+$", re.S)
 PREFIX = re.compile(r"(?<!\w)[bBrRuUfF]{1,2}$")
 JOINERS = frozenset(("or", "and", "if", "else", "not", "in"))
-#: On longer lines (minified, bundled, JSON in one line) literals are told by names of their own alone, not by any on the line.
-WIDE = 4000
 SAID = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[ _-]?key|credentials?|kennwort|passwort|contraseña|mot de passe|login)\b")
 PLACEHOLDER = re.compile(
     r"(?i)^(?:<.*>|\$\{?.*|\{\{.*|%\(?\w+\)?s?%?|\*+|[x*.#+/=_-]+|\W*|.*(?:change|replace|set|fill)[_ -]?(?:it|me|this).*|(?:insert|your|my|put|enter|add)[_ -].*|.*(?:placeholder|example|dummy|sample|redacted|todo|fixme|not[_-]?set).*"
@@ -278,12 +276,13 @@ def joined(text: str, at: int, end: int) -> tuple[str, int]:
         stop = q.end()
 
 
-def named(text: str, a: int, b: int, s: str, strings: list[re.Match[str]], env: set[int]) -> tuple[list[tuple[int, int]], bool]:
+def named(text: str, a: int, b: int, s: str, strings: list[re.Match[str]], env: set[int]) -> tuple[list[tuple[int, int]], list[int]]:
     """The literals of a line s = text[a:b] that stand by a credential's name of their own: one between them and the
     literal before. Where nothing is named in between, as in lists, what goes for the literal before goes for the next.
-    Also whether there is any, be it masked already."""
+    Also where in s such literals start, be they masked already."""
     out: list[tuple[int, int]] = []
-    last, state, masked = 0, False, False
+    places: list[int] = []
+    last, state = 0, False
     for q in strings:
         if q.start() in env:
             last, state = q.end(), True
@@ -305,8 +304,60 @@ def named(text: str, a: int, b: int, s: str, strings: list[re.Match[str]], env:
             more, stop = joined(text, a + q.end(), b)
             if secretlike(v + more) and not PHRASES.search(spoken(v)) or PROVIDER.search(v + more):
                 out.append((a + q.start() + 1, (stop if more else a + q.end()) - 1))
-            masked = masked or bool(MASKED.match(v))
-    return out, masked or bool(out)
+                places.append(q.start())
+            elif MASKED.match(v):
+                places.append(q.start())
+    return out, places
+
+
+def statements(s: str, strings: list[re.Match[str]]) -> list[int]:
+    """Where the statements of a line end, each after its semicolon, the last with the line."""
+    ends, at = [], 0
+    for q in [*strings, None]:
+        until = q.start() if q else len(s)
+        k = s.find(";", at, until)
+        while k >= 0:
+            ends.append(k + 1)
+            k = s.find(";", k + 1, until)
+        at = q.end() if q else until
+    return ends if ends and ends[-1] == len(s) else [*ends, len(s)]
+
+
+def beside(text: str, a: int, b: int, s: str, plain: str, strings: list[re.Match[str]], env: list[re.Match[str]], places: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """The first literal of each statement that can be a credential where the statement names one, but no literal of it
+    stands by such a name of its own (``places``)."""
+    out: list[tuple[int, int]] = []
+    envs = {q.start() for q in env}
+    u = i = j = 0
+    for v in ends:
+        some, own = [], False
+        while i < len(strings) and strings[i].start() < v:
+            some.append(strings[i])
+            i += 1
+        while j < len(places) and places[j] < v:
+            own, j = True, j + 1
+        part, named_env = plain[u:v], any(q.start() in envs for q in some)
+        u = v
+        if own or not some:
+            continue
+        names = [n for n in NAME.findall(part) if PHRASES.search(spoken(n))]
+        keys = [n for n in names if names_credential(n, s)]
+        off = len(names) - len(keys)
+        keys += CALL.findall(part)
+        if not (keys or named_env) or off and not named_env and off >= len(keys):
+            continue
+        for q in some:
+            w = q.group(1) if q.group(1) is not None else q.group(2) if q.group(2) is not None else q.group(3) or ""
+            k = q.start()
+            while k and s[k - 1].isspace():
+                k -= 1
+            if q.start() in envs or KEYED.match(s, q.end()) and s[k - 1 : k] not in ("=", ":", "(", "|", "?"):
+                continue
+            more, stop = joined(text, a + q.end(), b)
+            if secretlike(w + more) and not PHRASES.search(spoken(w)) or PROVIDER.search(w + more):
+                out.append((a + q.start() + 1, (stop if more else a + q.end()) - 1))
+                break
+    return out
 
 
 def line(text: str, a: int, b: int) -> list[tuple[int, int]]:
@@ -340,18 +391,9 @@ def line(text: str, a: int, b: int) -> list[tuple[int, int]]:
     keys += CALL.findall(plain)
     env = [q for q in strings if re.fullmatch(r"[A-Z][A-Z0-9_]{2,}", q.group(1) or q.group(2) or "") and names_credential(q.group(0))]
     off = [n for n in NAME.findall(plain) if PHRASES.search(spoken(n)) and not names_credential(n, s)]
-    own, any_own = named(text, a, b, s, strings, {q.start() for q in env})
-    out += own
-    if (keys or env) and not any_own and not (off and not env and len(off) >= len(keys)) and b - a <= WIDE:
-        for q in strings:
-            v = q.group(1) if q.group(1) is not None else q.group(2) if q.group(2) is not None else q.group(3) or ""
-            if q in env or re.match(r"\s*[:\]]|\s*=>", s[q.end() :]) and not s[: q.start()].rstrip().endswith(("=", ":", "(", "|", "?")):
-                continue
-            more, stop = joined(text, a + q.end(), b)
-            if secretlike(v + more) and not PHRASES.search(spoken(v)) or PROVIDER.search(v + more):
-                k = 1 if q.group(0)[0] in "\"'`" else 0
-                out.append((a + q.start() + k, (stop if more else a + q.end()) - k))
-                break
+    own, places = named(text, a, b, s, strings, {q.start() for q in env})
+    ends = statements(s, strings)
+    out += own + beside(text, a, b, s, plain, strings, env, places, ends)
     m = BARE.match(s)
     if m and names_credential(m.group(1), s) and secretlike(m.group(2).rstrip(",;")) and not re.search(r"[(\[]", m.group(2)):
         out.append((a + m.start(2), a + m.start(2) + len(m.group(2).rstrip(",;"))))
@@ -382,10 +424,14 @@ def line(text: str, a: int, b: int) -> list[tuple[int, int]]:
                     out.append((base + w.start(), base + w.start() + len(v)))
                     told = True
                     break
-        if said and not told and b - a <= WIDE:
-            for q in strings:
+                if MASKED.match(v):
+                    told = True
+        if said and not told:
+            before = [q for q in strings if q.end() <= c.start(1)]
+            start = max((e for e in ends if before and e <= before[-1].start()), default=0)
+            for q in before:  # of the last statement before the comment
                 v = q.group(1) or q.group(2) or ""
-                if q.end() <= c.start(1) and secretlike(v):
+                if q.start() >= start and secretlike(v):
                     out.append((a + q.start() + 1, a + q.end() - 1))
     return out
 

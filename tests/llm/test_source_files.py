@@ -306,6 +306,17 @@ def test_credentials_on_long_lines(spark):
     assert [(x.file_id, x.line_no) for x in secrets.found_lines(files(spark, [("a.js", ("x=1\n" + script).encode())])).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize(
+    "statement, last, n",
+    [('if ("Tc9yJMOd2rALLY" === password) go();', "", 1), ('x = f("Tc9yJMOd2rALLY", password);', "", 1), ('g("Qq5Item7x"); y = password;', "", 0), ('h("Tc9yJMOd2rALLY"); ', "// the password", 1), ("y = password;", "", 0), ('password = "Tc9yJMOd2rALLY"; z = f("Eq4OmnStR2Bw7YE", token);', "", 2)],
+)
+def test_a_line_of_any_length_is_read_alike(statement, last, n):
+    filler = "".join(f'a{i}=k({i},"Rr7Plain{i}Name");' for i in range(400))
+    assert len(filler) > 8000
+    for text in (statement + last, filler.partition("a20=")[0] + statement + last, filler + statement + last):
+        assert len(secrets.credentials(text)) == n
+
+
 @pytest.mark.parametrize(
     "note, want, rule",
     [("# Vendored from x 1.2.3, upstream commit 0a1b2c\n", "vendored", "Vendored from x 0.0.0, upstream commit 0a0b0c"), ("# Code generated by x. DO NOT EDIT.\n", "generated", "Code generated by x. DO NOT EDIT."), ("# nothing to say\n", None, "nothing to say")],
