@@ -325,3 +325,12 @@ def test_notices_below_a_long_licence(spark, note, want, rule):
     licence = "".join(f"# {i}. You may use this work under these terms and conditions only, as far as they go.\n" for i in range(300))
     assert handwritten.inspect(".py", "src/a.py", licence + note + HAND)[0] == want
     assert rule in {x.rule for x in handwritten.shared_rules(files(spark, [("a.py", (licence + note + HAND).encode())]), 1).collect()}
+
+
+def test_rules_that_copies_in_several_repositories_share(spark):
+    note, licence = "# argmoss 1.2.3 by its makers\n", "# You have the permission to use it\n"
+    texts = [("vendor/a.py", 1, note), ("third_party/b.py", 2, note + licence), ("src/c.py", 3, note.replace("1.2.3", "1.3.0")), ("src/d.py", 3, licence), ("deps/e.py", 1, licence), ("vendor/f.py", 4, "# only here, in one place\n"), ("src/g.py", 4, "# only here, in one place\n"), ("src/h.py", 5, "# our own header\n"), ("src/i.py", 6, "# our own header\n"), ("vendor/j.py", 6, "# our own header\n")]
+    rows = [(i, repo, path, (head + HAND).encode()) for i, (path, repo, head) in enumerate(texts, 1)]
+    got = {x.relpath[-4]: (x.kind, x.evidence) for x in handwritten.kinds(spark.createDataFrame(rows, "file_id long, repo_id int, relpath string, source_bytes binary")).collect()}
+    assert {k for k, v in got.items() if v == ("vendored", "shared rules")} == {"c"}
+    assert {k for k, v in got.items() if v == ("vendored", "path")} == set("abefj") and {k for k, v in got.items() if v[0] is None} == set("dghi")
